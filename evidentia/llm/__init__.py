@@ -1,0 +1,11 @@
+"""Operators for large text corpora: scans, dedup, decontamination, packing.
+
+Functions that run on executors are pickled with their code, so a cluster needs
+no installed copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
