@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licence_scan
+from . import decontamination, exact_dedup, licence_scan, packing, secret_scan, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_packing": packing.op5_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_licence_scan": licence_scan.op8_licence_scan,
 }
