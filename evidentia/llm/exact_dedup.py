@@ -90,7 +90,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
     index = MergeIndex()
     index.flush(docs)
-    entries, top = index.entries(), index.compact()
+    entries, top = index.entries(), materialise(index.compact(), "level1", **BLOOM)
     hits = materialise(entries.join(top.where("n > 1"), "digest"), "hits")
     wrong = materialise(_verified(docs, hits), "unequal")
     out = entries.join(hits.select("doc_id", "digest", "keep_id", "n").distinct(), ["doc_id", "digest"], "left").select(
