@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python; long texts make larger batches costly.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:

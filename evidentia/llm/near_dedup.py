@@ -8,11 +8,12 @@ meets under some key (at similarity 0.8 a pair fails to meet with odds of about
 
 No bucket's pairs are all made:
 1. documents with equal shingle sets form a class, represented by its smallest id;
-2. every bucket's smallest representative is its leader; each member is tested against
-   the closest of its leaders, and confirmed links are merged into components;
-3. only buckets that still hold several components are searched again, in blocks of at
-   most BLOCK members a side, for pairs of different components with close signatures,
-   each pair in the first bucket that it shares. A bucket of any size is searched whole.
+2. in STARS rounds every bucket has a leader; each member is tested against the closest
+   of its leaders, and confirmed links are merged into components;
+3. only buckets that still hold several components are searched whole, in blocks of
+   bounded size, for pairs of different components with close signatures, each pair in
+   the first bucket that it shares. Pairs within the largest component are not compared,
+   and a task stops testing pairs of components that it has joined; it returns links only.
 Each link is confirmed on the full shingle sets.
 
 Defined cases: null, empty and white texts have no shingles, are linked with nothing and
@@ -41,6 +42,10 @@ GUARANTEED = 2 * CHUNKS - 1
 LOOSE = 30
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Shingles of a block's members together (8 bytes each).
+BLOCK_SHINGLES = 250_000
+#: Rounds in which buckets have leaders.
+STARS = 2
 SHINGLE, SIMILARITY = 5, 80
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,10 +92,10 @@ class Shingler:
 def signature(shingles: np.ndarray) -> np.ndarray:
     best = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(0, len(shingles), 4096):
-            part = shingles[k : k + 4096]
-            for s in range(SYMBOLS):
-                best[s] = min(best[s], ((part ^ _XOR[s]) * _MUL[s]).min())
+        for k in range(0, len(shingles), 1024):
+            x = shingles[None, k : k + 1024] ^ _XOR[:, None]
+            x *= _MUL[:, None]
+            np.minimum(best, x.min(1), out=best)
         return (_mix(best) & np.uint64(2**BITS - 1)).astype(np.uint16)
 
 
@@ -170,20 +175,8 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, distance int")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= similarity * union, on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingler(shingle)
-        for b in batches:
-            for k in range(0, b.num_rows, 100):
-                part = b.slice(k, 100)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([of(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["doc_id", "set"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    full = materialise(rows.mapInArrow(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
-
+def confirmed(full: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= similarity * union, on the full sets (doc_id, set)."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -201,82 +194,170 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: int)
 
 
 _MEETING = "key long, i int, j int, block int, rep long, label long, bucket short, signature binary"
+_FULL = _MEETING + ", set binary"
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Close pairs of different components in each (key, i, j), each in its first shared bucket."""
+def _grouped(rows: DataFrame, schema: str, work, out: str) -> DataFrame:
+    """work(columns of one (key, i, j)) for each group of rows sorted by it; yields its batches."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def pairs(rep, label, bucket, block, sig, i, j):
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for k in range(0, len(left), 64):
-            part = left[k : k + 64]
-            far = np.zeros((len(part), len(right)), np.int32)
-            for s in range(SYMBOLS):
-                far += sig[part, s][:, None] != sig[right, s][None]
-            x, y = np.nonzero((far <= LOOSE) & (label[part][:, None] != label[right][None]))
-            x, y = part[x], right[y]
-            if i == j:
-                x, y = x[rep[x] < rep[y]], y[rep[x] < rep[y]]
-            own = first_bucket(sig[x], sig[y]) == bucket
-            yield np.minimum(rep[x], rep[y])[own], np.maximum(rep[x], rep[y])[own]
+    def change(t: pa.Table) -> np.ndarray:
+        key = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        return np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def done(t: pa.Table):
-            key = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-            ends = [0, *cut.tolist(), t.num_rows]
-            rep, label, block = (t.column(c).to_numpy() for c in ("rep", "label", "block"))
-            bucket = t.column("bucket").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            for x, y in zip(ends, ends[1:]):
-                for a, b in pairs(rep[x:y], label[x:y], bucket[x], block[x:y], sig[x:y], key[1][x], key[2][x]):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ends = [0, *change(t).tolist(), t.num_rows]
+        cols = {c: t.column(c).to_numpy() for c in names if c not in ("signature", "set")}
+        cols["signature"] = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        label = cols["label"]
+        for x, y in zip(ends, ends[1:]):
+            if y - x > 1 and (label[x:y] != label[x]).any():
+                yield from work({c: v[x:y] for c, v in cols.items()}, t.slice(x, y - x))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []  # of the last group, which may go on
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            key = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0))
-            cut = int(change[-1]) + 1 if len(change) else 0
-            if cut:
-                yield from done(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from done(rest)
+            cuts = change(t)
+            first = [parts[-1].column(k)[-1].as_py() for k in range(3)] if parts else None
+            if not len(cuts) and (first is None or first == [b.column(k)[0].as_py() for k in range(3)]):
+                parts.append(b)
+                continue
+            cut = int(cuts[-1]) if len(cuts) else 0
+            yield from done(pa.Table.from_batches([*parts, *([b.slice(0, cut)] if cut else [])]))
+            parts = [b.slice(cut)]
+        if parts:
+            yield from done(pa.Table.from_batches(parts))
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*names).mapInArrow(run, out)
+
+
+def _close_pairs(g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of one group that hold different components with close signatures, whose first shared
+    bucket this is: (left rows, right rows, distances), a few left rows at a time."""
+    rep, label, block, sig = g["rep"], g["label"], g["block"], g["signature"]
+    i, j, bucket = g["i"][0], g["j"][0], g["bucket"][0]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(left) or not len(right):
+        return
+    step = max(1, 20_000 // len(right))
+    for k in range(0, len(left), step):
+        part = left[k : k + step]
+        far = (sig[part][:, None] != sig[right][None]).sum(2, dtype=np.int32)
+        x, y = np.nonzero((far <= LOOSE) & (label[part][:, None] != label[right][None]))
+        far, x, y = far[x, y], part[x], right[y]
+        own = first_bucket(sig[x], sig[y]) == bucket
+        if i == j:
+            own &= rep[x] < rep[y]
+        if own.any():
+            yield x[own], y[own], far[own]
+
+
+def _meeting(g: dict[str, np.ndarray], t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of a group that have a close pair in it."""
+    some = np.zeros(t.num_rows, bool)
+    for x, y, _ in _close_pairs(g):
+        some[x] = some[y] = True
+    if some.any():
+        yield from t.filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _linked(similarity: int):
+    """Confirmed links between components of a group; a pair is skipped once its sides are joined."""
+
+    def work(g: dict[str, np.ndarray], t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rep, label, parent, found = g["rep"], g["label"].tolist(), {}, []
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("set")]
+
+        def top(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        for xs, ys, far in _close_pairs(g):
+            order = np.argsort(far, kind="stable")
+            for x, y in zip(xs[order].tolist(), ys[order].tolist(), strict=True):
+                p, q = top(label[x]), top(label[y])
+                m, n = len(sets[x]), len(sets[y])
+                if p == q or 100 * min(m, n) < similarity * max(m, n):
+                    continue
+                k = np.searchsorted(sets[y], sets[x])
+                both = int((sets[y][np.minimum(k, n - 1)] == sets[x]).sum())
+                if 100 * both >= similarity * (m + n - both):
+                    parent[p] = q
+                    found.append((int(rep[x]), int(rep[y])))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return work
+
+
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """The buckets that hold several components, dealt into meetings (key, i, j).
+
+    Members of a bucket's largest component are dealt into blocks after those of the others
+    and never meet each other; every other pair of blocks meets.
+    """
+    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    size = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("all_n"), F.sum("w").alias("all_w"), F.count(F.lit(1)).alias("labels"))
+    tops = tops.where("labels > 1").select("key", F.col("top.label").alias("main"), F.col("top.n").alias("n"), F.col("top.w").alias("w"), "all_n", "all_w")
+    tops = tops.withColumn("bm", size.cast("int")).withColumn("n", F.col("all_n") - F.col("n")).withColumn("w", F.col("all_w") - F.col("w")).withColumn("bo", size.cast("int"))
+    tops = materialise(tops.select("key", "main", "bm", "bo"), "mixed")
+    rows, inner = labelled.join(tops, "key"), F.col("label") == F.col("main")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(inner, F.col("bm")).otherwise(F.col("bo"))).cast("int") + F.when(inner, F.col("bo")).otherwise(0))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("bo")).otherwise(F.col("bo") + F.col("bm")) - 1)))
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "bucket")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, set for the documents of ids."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingler(shingle)
+        for b in batches:
+            for k in range(0, b.num_rows, 100):
+                part = b.slice(k, 100)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([of(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["doc_id", "set"])
 
-    return rows.select(*[x.split()[0] for x in _MEETING.split(", ")]).mapInArrow(run, "a long, b long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    return materialise(rows.mapInArrow(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     rows = signed(docs, shingle)
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     classes = materialise(classes, "classes")
-    keys = _keys(classes)
-    leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(keys.join(leaders, "key"), "met")  # rows of buckets with several members
-
-    # first round: each member with the closest of its leaders
-    sig = classes.select("rep", "signature")
-    stars = met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-    closest = _distance(stars).where(F.col("distance") <= LOOSE).groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = materialise(confirmed(docs, materialise(closest, "stars"), shingle, similarity), "links")
-    first = components(links)
-
-    # second round: buckets that still hold several components
+    keys = materialise(_keys(classes), "keys")
+    several = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    sig = classes.select("rep", "signature", "n_shingles")
+    met = materialise(keys.join(several.select("key"), "key").join(sig.select("rep", "n_shingles"), "rep"), "met")
+    first = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
+    full = _sets(docs, met.select(F.col("rep").alias("doc_id")).distinct(), shingle)
+    links = None
+    for k in range(STARS):  # each member with the closest of its leaders, where those are of other components
+        labelled = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        labelled = materialise(labelled.select("key", "rep", "bucket", "label", "n_shingles"), "labelled")
+        order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
+        leaders = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "label")).alias("l"))
+        leaders = materialise(leaders.select("key", F.col("l.rep").alias("leader"), F.col("l.label").alias("own")), "leaders")
+        stars = labelled.join(leaders, "key").where("label <> own").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        stars = stars.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
+        closest = _distance(stars).where(F.col("distance") <= LOOSE).groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        new = materialise(confirmed(full, materialise(closest, "stars"), similarity), "links")
+        links = new if links is None else links.unionByName(new)
+        first = components(links)
+
+    # buckets that still hold several components are searched whole
     labelled = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = materialise(labelled.select("key", "rep", "bucket", "label"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    split = labelled.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(sig, "rep")
-    split = split.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    across = _across(split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")).distinct()
-    more = materialise(confirmed(docs, materialise(across, "across"), shingle, similarity), "links")
+    labelled = materialise(labelled.select("key", "rep", "bucket", "label", "n_shingles"), "labelled")
+    rows_ = _blocks(labelled).join(sig.select("rep", "signature"), "rep")
+    meeting = materialise(_grouped(rows_, _MEETING, _meeting, _MEETING), "meeting")
+    more = materialise(_grouped(meeting.join(full.withColumnRenamed("doc_id", "rep"), "rep"), _FULL, _linked(similarity), "a long, b long"), "links")
 
     # components of components
     to = first.select(F.col("node"), F.col("label"))
