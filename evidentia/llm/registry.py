@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extraction, licence_scan, near_dedup, packing, secret_scan, toxicity
+from . import decontamination, exact_dedup, html_extraction, licence_scan, near_dedup, packing, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_html_extraction": html_extraction.op10_html_extraction,
     "op1_secret_scan": secret_scan.op1_secret_scan,
