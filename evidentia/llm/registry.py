@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extraction, licence_scan, near_dedup, packing, secret_scan, suffix_dedup, toxicity
+from . import decontamination, exact_dedup, html_extraction, licence_scan, near_dedup, packing, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_html_extraction": html_extraction.op10_html_extraction,
