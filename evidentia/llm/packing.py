@@ -2,12 +2,11 @@
 
 Documents become token ids, an end id is added, and only pieces longer than a sequence
 are cut. The histogram of piece lengths has at most `capacity` entries whatever the
-corpus. The configuration program (cover the count of every length by multiples of
-fillings of a sequence) is solved by multiplicative weights: each round prices lengths,
-a knapsack dynamic program finds the filling of highest price, and prices of the
-lengths that it covers fall. The fractional solution is rounded down and the rest, at
-most some pieces for each filling, is packed best-fit decreasing. A first fit of the
-whole histogram in decreasing order is kept instead if it needs fewer sequences.
+corpus. The configuration program (hold every length as often as it occurs by multiples
+of fillings of a sequence) is solved by multiplicative weights: each round prices lengths,
+a knapsack dynamic program finds the filling of highest price, and the prices of the
+lengths that it holds fall. A round's multiple is rounded down to whole sequences as it is
+taken, so what rounding leaves is priced again in later rounds.
 
 The plan is a table of ranges: pieces of length l with ranks from a to b go to
 sequences counted from s. Its size is bounded by the program, not by the corpus. Ranks
@@ -22,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +33,8 @@ from .common import materialise, small_batches, table
 
 CAPACITY = 1024
 END_ID = 2
-ROUNDS = 400
+#: Exponent of the first prices, rate at which they fall, and lengths priced in a round.
+CONVEX, RATE, PRICED = 1.2, 0.05, 192
 
 
 # -- the program -------------------------------------------------------------
@@ -70,99 +69,40 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capaci
     return out
 
 
-def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Fillings with their fractional multiples; together they cover no length more than its count.
+def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float) -> list[tuple[dict[int, int], int]]:
+    """Fillings {length: multiple} with whole multiples that hold every piece exactly once.
 
-    A round takes the filling of highest price as often as its scarcest length allows
-    within a step, and lowers the price of what it covered exponentially.
+    A round takes the filling of highest price for `share` of the times that the pieces
+    left allow, rounded down to whole sequences and at least one, and lowers the price of
+    each length by the share of it that is now held. Prices start convex in length, so long
+    pieces, which few others fit, are placed while short ones remain to fill up. With share
+    1 each round uses up a length, so there are at most as many rounds as lengths.
     """
-    out: list[tuple[dict[int, int], float]] = []
-    left = counts.astype(float)
-    need = np.maximum(counts.astype(float), 1)
-    weights = lengths / capacity * 1.0
-    for r in range(rounds):
-        open_ = left >= 1
-        if not open_.any():
-            break
-        some = np.flatnonzero(open_)
-        # a few hundred lengths of highest price bound the dynamic program
-        if len(some) > 192:
-            some = some[np.argsort(-(weights * left)[some], kind="stable")[:192]]
-        got = knapsack(lengths[some], weights[some], left[some].astype(int), capacity)
-        if not got:
-            break
-        fill = {int(some[i]): m for i, m in got.items()}
-        most = min(left[i] / m for i, m in fill.items())
-        step = max(min(most, 1.0), most * 0.5)
-        out.append((fill, step))
+    out: list[tuple[dict[int, int], int]] = []
+    left, weights = counts.astype(np.int64).copy(), (lengths / capacity) ** CONVEX
+    while len(some := np.flatnonzero(left > 0)):
+        if len(some) > PRICED:  # the dearest, and others evenly over all lengths
+            dear = np.argsort(-weights[some], kind="stable")
+            some = some[np.unique(np.concatenate([dear[: PRICED // 2], np.linspace(0, len(some) - 1, PRICED // 2).astype(int)]))]
+        fill = {int(some[i]): m for i, m in knapsack(lengths[some], weights[some], left[some], capacity).items()}
+        times = max(1, int(min(int(left[i]) // m for i, m in fill.items()) * share))
+        out.append(({int(lengths[i]): m for i, m in fill.items()}, times))
         for i, m in fill.items():
-            left[i] -= m * step
-            weights[i] *= np.exp(-0.5 * m * step / need[i])
+            left[i] -= m * times
+            weights[i] *= np.exp(-RATE * m * times / counts[i])
     return out
 
 
-def best_fit(items: list[tuple[int, int]], capacity: int) -> list[dict[int, int]]:
-    """Best-fit decreasing of (length, count) into bins {length: multiple}."""
-    bins: list[dict[int, int]] = []
-    room: list[tuple[int, int]] = []  # (room, bin), sorted
-    for length, count in sorted(items, reverse=True):
-        for _ in range(count):
-            k = bisect_left(room, (length, -1))
-            if k < len(room):
-                r, b = room.pop(k)
-            else:
-                r, b = capacity, len(bins)
-                bins.append({})
-            bins[b][length] = bins[b].get(length, 0) + 1
-            if r > length:
-                insort(room, (r - length, b))
-    return bins
-
-
-def first_fit_runs(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Greedy fillings of a histogram in decreasing order, each taken as often as counts allow."""
-    left, out = {int(a): int(n) for a, n in zip(lengths, counts, strict=True) if n}, []
-    while left:
-        room, fill = capacity, {}
-        for a in sorted(left, reverse=True):
-            m = min(left[a], room // a)
-            if m:
-                fill[a] = m
-                room -= m * a
-            if room == 0:
-                break
-        times = max(1, min(left[a] // m for a, m in fill.items()))
-        out.append((fill, times))
-        for a, m in fill.items():
-            left[a] -= m * times
-            if not left[a]:
-                del left[a]
-    return out
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Fillings {length: multiple} with integer multiples that hold exactly the histogram."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Fillings with whole multiples that hold exactly the histogram: the better of two step sizes."""
     full, histogram = histogram.get(capacity, 0), {k: v for k, v in histogram.items() if 0 < k < capacity and v}
     out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
     if not histogram:
         return out
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[a] for a in lengths.tolist()])
-    rounded, left = [], dict(zip(lengths.tolist(), counts.tolist(), strict=True))
-    for fill, x in multiplicative_weights(lengths, counts, capacity, rounds):
-        own = {int(lengths[i]): m for i, m in fill.items()}
-        n = min(int(x + 1e-9), *(left[a] // m for a, m in own.items()))
-        if n > 0 and sum(a * m for a, m in own.items()) >= 0.98 * capacity:
-            rounded.append((own, n))
-            for a, m in own.items():
-                left[a] -= m * n
-    rest = {a: n for a, n in left.items() if n}
-    if sum(rest.values()) <= 200_000:
-        rounded += [(b, 1) for b in best_fit(list(rest.items()), capacity)]
-    else:
-        rounded += first_fit_runs(np.array(list(rest)), np.array(list(rest.values())), capacity)
-    greedy = first_fit_runs(lengths, counts, capacity)
-    return out + min(rounded, greedy, key=lambda p: sum(n for _, n in p))
+    tried = [multiplicative_weights(lengths, counts, capacity, share) for share in (1.0, 0.5)]
+    return out + min(tried, key=lambda p: sum(n for _, n in p))
 
 
 class Ranges:

@@ -49,8 +49,8 @@ HOMOGLYPHS = dict(
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 _TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
-_LEET = re.compile(r"(?<=[^\W\d_])[013457 8@$!](?=[^\W\d_])".replace(" ", ""))
-_EDGE = re.compile(r"(?<![\w@$!])[01345 78](?=[^\W\d_])|(?<=[^\W\d_])[0134578](?![\w@$!])".replace(" ", ""))
+#: At most three in a row, between letters, or digits at one end of a word.
+_LEET = re.compile(r"(?<=[^\W\d_])[0134578@$!]{1,3}(?=[^\W\d_])|(?<![\w@$!])[0134578]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[0134578]{1,2}(?![\w@$!])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,8 +58,7 @@ def fold(text: str) -> str:
     out = text.lower()
     if not out.isascii():
         out = out.translate(_TABLE)
-    out = _LEET.sub(lambda m: LEET[m[0]], out)
-    return _EDGE.sub(lambda m: LEET[m[0]], out)
+    return _LEET.sub(lambda m: "".join(map(LEET.__getitem__, m[0])), out)
 
 
 def _features(text: str) -> set[str]:
