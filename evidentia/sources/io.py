@@ -16,7 +16,7 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row a text file below path: path, book (its folder), page (0 if the name has none), text; empty files go."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     page = F.coalesce(F.regexp_extract("path", r"_(\d+)(?:\.jpg)?\.txt$", 1).try_cast("int"), F.lit(0))
     return rows.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("book"), page.alias("page"), "text").where(F.trim("text") != "")
 
