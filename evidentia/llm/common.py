@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Sent:
+    """A broadcast object, pickled with its code and unpickled once in each task."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._own: list = []
+
+    def __getstate__(self) -> dict:
+        return {"_sent": self._sent, "_own": []}
+
+    @property
+    def value(self):
+        if not self._own:
+            self._own.append(cloudpickle.loads(self._sent.value))
+        return self._own[0]

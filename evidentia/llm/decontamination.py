@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import Sent, materialise, small_batches, table
 
 WINDOW = 10
 #: Words of a segment's documents, at which the segment is closed.
@@ -97,7 +97,7 @@ def build_index(docs: DataFrame, tests: DataFrame, segment_words: int = SEGMENT_
         to = {i: vocab[w] for w, i in b.terms.items()}
         b.rows = [tuple(to[i] for i in r) for r in b.rows]
         b.terms = {}
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    shared = Sent(docs.sparkSession, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, gap = shared.value, window
@@ -171,7 +171,7 @@ def _hits(seg: Segment, tests: Tests, slack: int = 0) -> Iterator[tuple[int, np.
 
 def phrase_matches(index: DataFrame, tests: Tests, slack: int = 0) -> DataFrame:
     """doc_id, item_id, start, length: where windows stand exactly, or within slack words."""
-    shared = index.sparkSession.sparkContext.broadcast(tests)
+    shared = Sent(index.sparkSession, tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +202,7 @@ def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> Da
     A task reads a segment and searches all blocks in turn, each from its broadcast.
     """
     index, blocks = build_index(docs, tests, window=window)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    shared = [Sent(docs.sparkSession, b) for b in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

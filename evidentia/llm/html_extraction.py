@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import Sent, materialise, small_batches, table
 
 #: Paths kept for each host; a page with none of them has its own best container.
 PATHS = 5
@@ -247,7 +247,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     winners = materialise(winning_paths(pages), "paths")
     few = winners.count() <= BROADCAST_HOSTS
     own = {r["host"]: r["paths"] for r in winners.collect()} if few else {}
-    shared = pages.sparkSession.sparkContext.broadcast(own)
+    shared = Sent(pages.sparkSession, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import Sent, materialise, small_batches, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = tally.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    shared = docs.sparkSession.sparkContext.broadcast(ranges)  # bounded by the program's fillings
+    shared = Sent(docs.sparkSession, ranges)  # bounded by the program's fillings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import Sent, materialise, small_batches, table
 
 #: At most so many labelled rows teach the lexicon.
 MAX_TRAIN = 6000
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
 def score_documents(docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
     """doc_id, held_out, score, predicted; every row of docs, in one pass without a shuffle."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES entries
+    shared = Sent(docs.sparkSession, lexicon)  # at most MAX_ENTRIES entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -252,7 +252,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon | None, least: float = 0.5) ->
     if lexicon is None:
         return docs
     small_batches(docs.sparkSession)
-    shared, at = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index("text")
+    shared, at = Sent(docs.sparkSession, lexicon), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
