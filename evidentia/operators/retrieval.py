@@ -16,10 +16,10 @@ def top(df: DataFrame, by: str, *order, k: int, name: str = "rank") -> DataFrame
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).where(F.col(name) <= k)
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, term, tf, dl): counted in each document, without a shuffle."""
+def postings(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, dl, term, tf) of these terms alone: other words are dropped before they are counted."""
     words = docs.select(F.col(doc_id).alias("doc"), T.tokens(F.col(text)).alias("w"))
-    pairs = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    pairs = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi")
     return pairs.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -29,15 +29,14 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text:
     Negative idf is epsilon times the mean idf; query terms count as often as they
     occur; documents without a common term fill up the ranks, later documents first.
     """
-    post = postings(docs, doc_id, text)
     size = docs.select(F.size(T.tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))  # one row
+    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))  # one row
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("idf").alias("mean"))
     weights = df.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select(F.col(query_id).alias("query"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qf"))
-    # only the terms that are asked for leave the index
-    hits = post.join(asked.select("term").distinct(), "term", "left_semi").join(weights, "term").join(asked, "term")
+    post = postings(docs, asked.select("term").distinct(), doc_id, text)
+    hits = post.join(weights.join(asked, "term"), "term")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     last = docs.select(F.col(doc_id).alias("doc")).orderBy(F.desc("doc")).limit(2 * k)  # 2k rows
