@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import aliases as A
 from ..operators import claims as C
 from ..operators import graph as G
 from ..operators import retrieval as R
@@ -506,3 +507,67 @@ def similarity_blocks(t):
 @query("SELECT lang, source, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT text) AS n_distinct FROM documents GROUP BY ALL")
 def eda_report(t):
     return t.documents.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("text").alias("n_distinct"))
+
+
+# -- aliases and paths -------------------------------------------------------
+
+
+def _order_texts(t):
+    """The part names of an order as a text."""
+    names = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), "l_linenumber", "p_name")
+    return names.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]), ", ").alias("text"))
+
+
+@query()
+def alias_match(t):
+    aliases = t.part.select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"), F.col("p_size").alias("weight"))
+    return A.greedy(A.candidates(_order_texts(t), aliases))
+
+
+@query(
+    r"""WITH k AS (SELECT p_partkey, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^\p{L}\p{N}]+', ' ', 'g')) AS alias FROM part),
+    f AS (SELECT DISTINCT trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) AS key, p_type AS id FROM part)
+    SELECT DISTINCT f.id, k.p_partkey AS entity, k.alias FROM f JOIN k ON contains(' ' || k.alias || ' ', ' ' || f.key || ' ') AND f.key <> k.alias WHERE length(f.key) >= 6"""
+)
+def alias_substring(t):
+    facets = t.part.select(F.col("p_type").alias("id"), F.col("p_type").alias("text")).distinct()
+    return A.within_longer(facets, t.part.select(F.col("p_partkey").alias("entity"), F.concat_ws(" ", "p_type", "p_brand").alias("name")))
+
+
+@query(
+    r"""WITH m AS (SELECT p_brand AS type, p_type AS name, p_size / 50.0 AS confidence, trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM part),
+    n AS (SELECT type, key, name, count(*) AS n, sum(confidence) AS c FROM m GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY type, key ORDER BY n DESC, length(name), lower(name), name) AS r FROM n)
+    SELECT type, key, max(CASE WHEN r = 1 THEN name END) AS name, sum(n)::BIGINT AS n_mentions, count(*) AS n_names, round(sum(c) / sum(n), 4) AS confidence FROM r GROUP BY type, key"""
+)
+def representatives(t):
+    return A.representatives(t.part.select(F.col("p_brand").alias("type"), F.col("p_type").alias("name"), (F.col("p_size") / 50.0).alias("confidence")))
+
+
+@query()
+def text_split(t):
+    return t.documents.select("doc_id", F.posexplode(A.split_text(F.col("text"), 2200, 200)).alias("piece", "text"))
+
+
+@query(
+    f"""WITH {_EDGES}, s AS (SELECT c_nationkey AS query, 'c' || c_custkey AS node FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT s_nationkey, 's' || s_suppkey FROM supplier)
+    SELECT a.query, e.source, e.target, e.weight FROM e JOIN s a ON a.node = e.source JOIN s b ON b.node = e.target AND a.query = b.query"""
+)
+def typed_paths(t):
+    seeds = t.customer.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("query"), F.concat(F.lit("c"), "c_custkey").alias("node"))
+    seeds = seeds.unionByName(t.supplier.select(F.col("s_nationkey").alias("query"), F.concat(F.lit("s"), "s_suppkey").alias("node")))
+    ends = lambda c: seeds.withColumnRenamed("node", c)
+    return _edges(t).join(ends("source"), "source").join(ends("target"), ["target", "query"]).select("query", "source", "target", "weight")
+
+
+@query(
+    f"""WITH {_EDGES}, {_INC}, d AS (SELECT node, count(*) AS degree FROM i GROUP BY node)
+    SELECT source, target, round(least(1.0, ln(1 + weight) / ln(4)) * 0.45 + 0.25 / (1 + 0.15 * ln(1 + a.degree)) + 0.2 / (1 + 0.15 * ln(1 + b.degree)), 6) AS score
+    FROM e JOIN d a ON a.node = e.source JOIN d b ON b.node = e.target"""
+)
+def edge_score(t):
+    e = _edges(t)
+    d = G.degrees(e)
+    e = e.join(d.select(F.col("node").alias("source"), F.col("degree").alias("da")), "source").join(d.select(F.col("node").alias("target"), F.col("degree").alias("db")), "target")
+    hub = lambda c: 1 + 0.15 * F.log1p(c)
+    return e.select("source", "target", F.round(F.least(F.lit(1.0), F.log1p("weight") / F.log(F.lit(4.0))) * 0.45 + 0.25 / hub("da") + 0.2 / hub("db"), 6).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia import catalogue
 from evidentia.functions import text as T
-from evidentia.operators import claims, graph, retrieval, segments
+from evidentia.operators import aliases, claims, graph, retrieval, segments
 from evidentia.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,27 @@ def test_relation_repair(spark):
     assert [tuple(r) for r in df.select(kind, swapped).collect()] == [("OCCURRED_AT", True), ("OCCURRED_AT", False), ("RELATED_TO", False), ("PARTICIPATED_IN", True), ("LOCATED_IN", False)]
 
 
+def test_greedy_spans(spark):
+    texts = spark.createDataFrame([(1, "Ho Chi Minh, Viet Minh"), (2, "Ho Chi Minh va Viet Minh"), (3, None), (4, "minh")], "id long, text string")
+    names = spark.createDataFrame([(7, "Hồ Chí Minh", 1), (7, "ho chi minh", 1), (8, "Viet Minh", 5), (9, "Minh", 9), (9, "abc", 9)], "entity long, name string, weight int")
+    got = aliases.greedy(aliases.candidates(texts, names)).collect()
+    spans = {(r.id, r.alias) for r in got}
+    # directly adjacent spans share a space and conflict; only the first place of an alias is tried
+    assert spans == {(1, "ho chi minh"), (2, "ho chi minh"), (2, "viet minh"), (4, "minh")}
+
+
+def test_split_text(spark):
+    pieces = one(spark, lambda c: aliases.split_text(c, 20, 5), "One two three. Four five six seven eight nine")
+    assert pieces[0] == "One two three." and all(len(p) <= 20 for p in pieces) and pieces[-1].endswith("nine")
+    assert one(spark, lambda c: aliases.split_text(c, 20, 5), "") == []
+
+
+def test_representatives(spark):
+    rows = [("P", "An  Lee", 1.0), ("P", "an lee", 0.5), ("P", "an lee", 0.6), ("Q", "an lee", 0.2)]
+    got = {(r.type, r.name, r.n_mentions, r.confidence) for r in aliases.representatives(spark.createDataFrame(rows, "type string, name string, confidence double")).collect()}
+    assert got == {("P", "an lee", 3, 0.7), ("Q", "an lee", 1, 0.2)}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "in/book").mkdir(parents=True)
     (tmp_path / "in/book/book.pdf_12.jpg.txt").write_text("first\nsecond")
