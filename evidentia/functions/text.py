@@ -105,3 +105,66 @@ def label(c: Column) -> Column:
     x = F.lower(F.trim(F.coalesce(c, F.lit(""))))
     real, fake = x.contains("real"), x.contains("fake")
     return F.when(x.contains("insufficient"), "fake").when(real & ~fake, "real").when(fake & ~real, "fake").otherwise("unknown")
+
+
+#: Units that belong to a number before them.
+UNITS = ["%", "phần trăm", "triệu", "tỉ", "tỷ", "nghìn", "vạn", "ha", "km2", "km²", "năm", "người", "quân", "lần", "tháng"]
+
+
+def quantities(c: Column) -> Column:
+    """Distinct numbers and ranges, with their unit, in order; bare years are none."""
+    number = r"\d+(?:[.,]\d+)?"
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){number}(?:(?U:\s*)[-–—](?U:\s*){number})?(?U:\s*)(?:{'|'.join(UNITS)})?"), F.lit(0))
+    clean = F.transform(found, facet_value)
+    return F.array_distinct(F.filter(clean, lambda v: (v != "") & ~v.rlike(r"^(1[0-9]{3}|20[0-9]{2})$")))
+
+
+def graph_tokens(c: Column, stop: list[str], least: int = 3) -> Column:
+    """Distinct words of a key without stop words, short words and numbers."""
+    words = F.filter(F.split(key(c), " "), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\p{Nd}+$"))
+    return F.array_except(words, F.array(*map(F.lit, stop)).cast("array<string>"))
+
+
+def strip_fence(c: Column) -> Column:
+    """An answer without the code fence around it."""
+    x = F.trim(c)
+    bare = F.regexp_replace(F.regexp_replace(x, r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    return F.trim(F.when(x.startswith("```"), bare).otherwise(x))
+
+
+def json_object(c: Column) -> Column:
+    """A model's answer as a JSON text, or null: fences go, text around the braces goes, a cut end is closed."""
+    x = strip_fence(c)
+    # raw control characters are legal here, so they become spaces
+    x = F.regexp_replace(x, r"[\x00-\x1F]", " ")
+    inner = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
+    open_ = F.regexp_extract(x, r"(?s)(\{.*)$", 1)
+    tries = [x, inner, *[F.concat(open_, F.lit(end)) for end in ('"}', "}", '"]}', "]}")]]
+    valid = lambda t: F.when(t.startswith("{") & F.try_parse_json(t).isNotNull(), t)
+    return F.coalesce(*map(valid, tries))
+
+
+#: What a verdict may call wrong.
+WRONG = ["time", "place", "person", "organization", "event", "quantity", "action", "result", "concept", "insufficient_evidence"]
+
+
+def wrong_facets(items: Column) -> Column:
+    """Distinct known names in a list of texts that may each hold several."""
+    words = F.split(F.lower(F.array_join(F.coalesce(items, F.array().cast("array<string>")), " ")), r"[|,;/\s]+")
+    return F.array_distinct(F.filter(words, lambda w: w.isin(WRONG)))
+
+
+def verdict(c: Column) -> Column:
+    """A verifier's answer as struct(label, confidence, evidence_ids, wrong_facets, how).
+
+    how is json, or salvaged where only single fields could be read, or null where none could.
+    """
+    j = json_object(c)
+    schema = "label string, confidence string, evidence_ids array<string>, wrong_facets array<string>"
+    s = F.from_json(j, schema)
+    read = F.struct(label(s["label"]).alias("label"), confidence(s["confidence"]).alias("confidence"), F.array_distinct(F.coalesce(s["evidence_ids"], F.array().cast("array<string>"))).alias("evidence_ids"), wrong_facets(s["wrong_facets"]).alias("wrong_facets"), F.lit("json").alias("how"))
+    x = strip_fence(c)
+    said = F.regexp_extract(x, r'"label"\s*:\s*"(real|fake)"', 1)
+    listed = F.regexp_extract(x, r'"wrong_facets"\s*:\s*\[([^\]]*)\]', 1)
+    saved = F.struct(said.alias("label"), confidence(F.regexp_extract(x, r'"confidence"\s*:\s*([0-9.]+)', 1)).alias("confidence"), F.array_distinct(F.regexp_extract_all(x, F.lit(r'"(E\d+)"'), F.lit(1))).alias("evidence_ids"), wrong_facets(F.regexp_extract_all(listed, F.lit(r'"([a-z_]+)"'), F.lit(1))).alias("wrong_facets"), F.lit("salvaged").alias("how"))
+    return F.when(j.isNotNull(), read).when(said != "", saved)
