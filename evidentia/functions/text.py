@@ -1,8 +1,9 @@
-"""Text functions, Column to Column; no Python runs on rows except nfc and name_ratio."""
+"""Text functions, Column to Column; no Python runs on rows except in nfc, strip_marks and name_ratio."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,22 +15,37 @@ from pyspark.sql.types import DoubleType, StringType
 EDGES = " .,:;!?()[]{}\"'"
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
+# These are made at each call: a used one holds a gateway, which cannot be sent to executors with this module.
+
+
+def nfc(c: Column) -> Column:
     """Unicode form NFC; Spark has no function for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    @F.pandas_udf(StringType())
+    def udf(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return udf(c)
 
 
-@F.pandas_udf(StringType())
-def strip_marks(text: pd.Series) -> pd.Series:
+def strip_marks(c: Column) -> Column:
     """Without combining marks (NFD, category Mn dropped)."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
+    @F.pandas_udf(StringType())
+    def udf(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn"))
 
-@F.pandas_udf(DoubleType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return udf(c)
+
+
+def name_ratio(a: Column | str, b: Column | str) -> Column:
     """Matching-blocks similarity of two names, 0 to 1."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+    @F.pandas_udf(DoubleType())
+    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+    return udf(a, b)
 
 
 def squeeze(c: Column) -> Column:
@@ -132,11 +148,18 @@ def strip_fence(c: Column) -> Column:
     return F.trim(F.when(x.startswith("```"), bare).otherwise(x))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def json_object(c: Column) -> Column:
     """A model's answer as a JSON text, or null: fences go, text around the braces goes, a cut end is closed."""
-    x = strip_fence(c)
     # raw control characters are legal here, so they become spaces
-    x = F.regexp_replace(x, r"[\x00-\x1F]", " ")
+    return let(F.regexp_replace(strip_fence(c), r"[\x00-\x1F]", " "), _object)
+
+
+def _object(x: Column) -> Column:
     inner = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
     open_ = F.regexp_extract(x, r"(?s)(\{.*)$", 1)
     tries = [x, inner, *[F.concat(open_, F.lit(end)) for end in ('"}', "}", '"]}', "]}")]]
@@ -159,12 +182,15 @@ def verdict(c: Column) -> Column:
 
     how is json, or salvaged where only single fields could be read, or null where none could.
     """
-    j = json_object(c)
+    return let(F.struct(strip_fence(c).alias("x"), json_object(c).alias("j")), lambda b: _verdict(b["x"], b["j"]))
+
+
+def _verdict(x: Column, j: Column) -> Column:
+    none = F.array().cast("array<string>")
     schema = "label string, confidence string, evidence_ids array<string>, wrong_facets array<string>"
-    s = F.from_json(j, schema)
-    read = F.struct(label(s["label"]).alias("label"), confidence(s["confidence"]).alias("confidence"), F.array_distinct(F.coalesce(s["evidence_ids"], F.array().cast("array<string>"))).alias("evidence_ids"), wrong_facets(s["wrong_facets"]).alias("wrong_facets"), F.lit("json").alias("how"))
-    x = strip_fence(c)
-    said = F.regexp_extract(x, r'"label"\s*:\s*"(real|fake)"', 1)
-    listed = F.regexp_extract(x, r'"wrong_facets"\s*:\s*\[([^\]]*)\]', 1)
-    saved = F.struct(said.alias("label"), confidence(F.regexp_extract(x, r'"confidence"\s*:\s*([0-9.]+)', 1)).alias("confidence"), F.array_distinct(F.regexp_extract_all(x, F.lit(r'"(E\d+)"'), F.lit(1))).alias("evidence_ids"), wrong_facets(F.regexp_extract_all(listed, F.lit(r'"([a-z_]+)"'), F.lit(1))).alias("wrong_facets"), F.lit("salvaged").alias("how"))
-    return F.when(j.isNotNull(), read).when(said != "", saved)
+    parts = lambda s, ids, wrong, how: F.struct(s["label"].alias("label"), confidence(s["confidence"]).alias("confidence"), F.array_distinct(ids).alias("evidence_ids"), wrong_facets(wrong).alias("wrong_facets"), F.lit(how).alias("how"))
+    read = let(F.from_json(j, schema), lambda s: parts(F.struct(label(s["label"]).alias("label"), s["confidence"].alias("confidence")), F.coalesce(s["evidence_ids"], none), s["wrong_facets"], "json"))
+    said = F.struct(F.regexp_extract(x, r'"label"\s*:\s*"(real|fake)"', 1).alias("label"), F.regexp_extract(x, r'"confidence"\s*:\s*([0-9.]+)', 1).alias("confidence"))
+    listed = F.regexp_extract_all(F.regexp_extract(x, r'"wrong_facets"\s*:\s*\[([^\]]*)\]', 1), F.lit(r'"([a-z_]+)"'), F.lit(1))
+    saved = parts(said, F.regexp_extract_all(x, F.lit(r'"(E\d+)"'), F.lit(1)), listed, "salvaged")
+    return F.when(j.isNotNull(), read).when(said["label"] != "", saved)

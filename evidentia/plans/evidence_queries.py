@@ -13,14 +13,22 @@ from ..operators import reports as P
 from ..operators import retrieval as R
 from .queries import _BM25, _DENSE_ITEMS, _EDGES, _IY, _edges, _item_vectors, _item_year, checkpoint, query
 
+#: lineitem has no short key: a line number may stand twice in an order.
+_EDGE = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"
+
+
+def _edge():
+    return F.expr(_EDGE)
+
+
 # -- facets: suppliers claim, parts are nodes, orders are chunks ----------------------------
 
 _MATCHES = """mt AS (SELECT id, facet, value, node, row_number() OVER (PARTITION BY id, facet, value ORDER BY node) AS ord
     FROM (SELECT DISTINCT l_suppkey AS id, 'concept' AS facet, p_brand AS value, p_partkey AS node FROM lineitem JOIN part ON l_partkey = p_partkey)),
 m AS (SELECT * FROM mt WHERE ord <= 5 UNION ALL SELECT s_suppkey, 'time', (1995 + s_suppkey % 5)::VARCHAR, 0, 1 FROM supplier)"""
-_HITS = """nc AS (SELECT node, 0 AS kind, pos, chunk, NULL::BIGINT AS edge FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY chunk) AS pos
+_HITS = f"""nc AS (SELECT node, 0 AS kind, pos, chunk, NULL::BIGINT AS edge FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY chunk) AS pos
     FROM (SELECT DISTINCT l_partkey AS node, l_orderkey AS chunk FROM lineitem)) WHERE pos <= 5),
-ed AS (SELECT l_orderkey * 10 + l_linenumber AS edge, l_partkey AS node, CASE WHEN l_linenumber % 3 > 0 THEN l_orderkey END AS chunk FROM lineitem WHERE l_returnflag <> 'N'),
+ed AS (SELECT {_EDGE} AS edge, l_partkey AS node, CASE WHEN l_linenumber % 3 > 0 THEN l_orderkey END AS chunk FROM lineitem WHERE l_returnflag <> 'N'),
 ne AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY edge) AS pos FROM ed),
 nh AS (SELECT * FROM nc UNION ALL SELECT node, 1, pos, chunk, edge FROM ne WHERE chunk IS NOT NULL),
 h AS (SELECT m.id, facet, value, ord, kind, pos, chunk, edge, row_number() OVER (PARTITION BY m.id, facet, value ORDER BY ord, kind, pos) AS no FROM m JOIN nh USING (node)),
@@ -42,7 +50,7 @@ def _supplier_facets(t):
 def _facet_hits(t):
     chunks = t.lineitem.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("chunk"))
     edges = t.lineitem.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge"), F.col("l_partkey").alias("source"), F.lit(-1).cast("long").alias("target"),
+        _edge().alias("edge"), F.col("l_partkey").alias("source"), F.lit(-1).cast("long").alias("target"),
         F.col("l_returnflag").alias("type"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_orderkey")).alias("chunk"),
     )
     years = t.orders.select(F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("chunk"))
@@ -143,8 +151,8 @@ def router_features(t):
 
 # -- facts and chunks of a graph: customers claim, edges are lineitems ----------------------
 
-_GRAPH = """cl AS (SELECT c_custkey AS id, 'c' || c_custkey AS node, 199500 + (c_custkey % 12)::INT + 1 AS year, [lower(c_mktsegment), 'urgent', 'low'] AS tokens FROM customer WHERE c_acctbal > 9000),
-ge AS (SELECT l_orderkey * 10 + l_linenumber AS edge, 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_returnflag AS type, l_orderkey AS chunk, 1 - l_discount AS confidence,
+_GRAPH = f"""cl AS (SELECT c_custkey AS id, 'c' || c_custkey AS node, 199500 + (c_custkey % 12)::INT + 1 AS year, [lower(c_mktsegment), 'urgent', 'low'] AS tokens FROM customer WHERE c_acctbal > 9000),
+ge AS (SELECT {_EDGE} AS edge, 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_returnflag AS type, l_orderkey AS chunk, 1 - l_discount AS confidence,
     (year(l_shipdate) * 100 + month(l_shipdate))::INT AS year, (year(o_orderdate) * 100 + month(o_orderdate))::INT AS chunk_year, lower(regexp_extract(o_orderpriority, '[A-Z]+')) AS word, p_name
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 ca AS (SELECT id, edge, 'entity_1hop' AS reason FROM cl JOIN ge ON source = node UNION ALL SELECT id, edge, 'year_edge' FROM cl JOIN ge USING (year)
@@ -167,7 +175,7 @@ def _graph(t):
     )
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     edges = rows.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge"), F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), F.col("l_returnflag").alias("type"),
+        _edge().alias("edge"), F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), F.col("l_returnflag").alias("type"),
         F.col("l_orderkey").alias("chunk"), (1 - F.col("l_discount")).alias("confidence"), F.lit("customer").alias("source_type"), F.lit("supplier").alias("target_type"),
         F.array(month("l_shipdate")).alias("years"), F.array(F.lower(F.regexp_extract("o_orderpriority", "[A-Z]+", 0))).alias("tokens"), S.padded(F.col("p_name")).alias("key"),
     )
@@ -204,13 +212,13 @@ def chunk_score(t):
 
 
 @query(
-    """WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS edge, l_orderkey AS path, l_linenumber AS n, l_returnflag AS f, l_linestatus AS s, year(l_shipdate)::INT AS y FROM lineitem WHERE l_linenumber <= 2),
+    f"""WITH e AS (SELECT {_EDGE} AS edge, l_orderkey AS path, l_linenumber AS n, l_returnflag AS f, l_linestatus AS s, year(l_shipdate)::INT AS y FROM lineitem WHERE l_linenumber <= 2),
     p AS (SELECT path, bool_and(s = 'F') AS grounded, bool_or(f = 'A' AND n = 1) AS ordered, list(y) AS ys FROM e GROUP BY path)
     SELECT path, grounded, CASE WHEN ordered THEN 'EXPLICIT_REFUTE?' WHEN path % 3 = 0 THEN CASE WHEN grounded THEN 'SUPPORT' ELSE 'UNKNOWN' END
         WHEN list_contains(ys, (1995 + path % 5)::INT) THEN 'SUPPORT' ELSE 'POSSIBLE_CONFLICT' END AS label FROM p"""
 )
 def path_labels(t):
-    lines = t.lineitem.where("l_linenumber <= 2").withColumn("edge", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    lines = t.lineitem.where("l_linenumber <= 2").withColumn("edge", _edge())
     paths = lines.groupBy(F.col("l_orderkey").alias("path")).agg(F.collect_set("edge").alias("edges")).withColumn("id", F.col("path"))
     kind = F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1), "BEFORE").otherwise("RELATED_TO")
     edges = lines.select("edge", kind.alias("type"), F.col("edge").alias("chunk"), F.when(F.col("l_linestatus") == "F", "seen").otherwise("").alias("evidence"))
@@ -238,24 +246,25 @@ def funnel(t):
 )
 def entity_drops(t):
     kind = F.element_at(F.array(*map(F.lit, ("Event", "Person", "Concept", "Place"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    rings = [f"{a} ring" for a in ("small", "large", "red", "blue", "green", "steel", "brass")]
-    rings += [r["p_name"] for r in t.part.where("p_name LIKE '% ring'").select("p_name").distinct().limit(200).collect() if r["p_name"] not in rings]
+    rings = [f"{a} ring" for a in ("hot", "cold", "red", "small", "large", "blue", "old", "new")]
     reason = L.entity_drop_reason(kind, F.col("p_name"), F.col("p_size") / 50.0, rings)
     return t.part.select(kind.alias("type"), F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("type", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    """WITH e AS (SELECT l_orderkey AS chunk, l_linenumber AS entity, l_partkey, p_name, p_size / 50.0 AS c, CASE WHEN p_size % 2 = 0 THEN 'Event' ELSE 'Concept' END AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
-    x AS (SELECT chunk, entity, round(c * 100 + CASE type WHEN 'Event' THEN 60 ELSE 20 END + 6 * ((entity > 1)::INT + (EXISTS (SELECT 1 FROM e f WHERE f.chunk = e.chunk AND f.entity = e.entity + 1))::INT) + 4 * (entity % 3), 6) AS salience FROM e)
+    """WITH p AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity FROM lineitem),
+    e AS (SELECT chunk, entity, p_size / 50.0 AS c, CASE WHEN p_size % 2 = 0 THEN 60 ELSE 20 END AS w, min(entity) OVER (PARTITION BY chunk) AS lead, count(*) OVER (PARTITION BY chunk) AS k FROM p JOIN part ON entity = p_partkey),
+    x AS (SELECT chunk, entity, round(c * 100 + w + 6 * CASE WHEN entity = lead THEN k - 1 ELSE 1 END + 4 * (entity % 3), 6) AS salience FROM e)
     SELECT chunk, entity, salience FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY salience DESC, entity) AS r FROM x) WHERE r <= 3"""
 )
 def salience_cap(t):
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity")).distinct()
+    lead = rows.groupBy("chunk").agg(F.min("entity").alias("source"))
+    # the first entity of a chunk is related to every other
+    relations = rows.join(lead, "chunk").where("entity <> source").select("chunk", F.col("entity").alias("ord"), "source", F.col("entity").alias("target"), F.lit("CAUSES").alias("type"), F.lit(1.0).alias("confidence"))
     kind = F.when(F.col("p_size") % 2 == 0, "Event").otherwise("Concept")
-    entities = rows.select(F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").alias("entity"), F.col("l_linenumber").alias("ord"), kind.alias("type"), F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("confidence"), (F.col("l_linenumber") % 3).alias("n_years"))
-    # a chain of lines, from each to the next
-    chain = t.lineitem.where("l_linenumber > 1").select(F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").alias("ord"), (F.col("l_linenumber") - 1).alias("source"), F.col("l_linenumber").alias("target"), F.lit("CAUSES").alias("type"), F.lit(1.0).alias("confidence"))
-    return L.cap(entities, chain, 3, 2)[0].select("chunk", "entity", "salience")
+    entities = rows.join(t.part, F.col("entity") == F.col("p_partkey")).select("chunk", "entity", F.col("entity").alias("ord"), kind.alias("type"), F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("confidence"), (F.col("entity") % 3).alias("n_years"))
+    return L.cap(entities, relations, 3, 2)[0].select("chunk", "entity", "salience")
 
 
 def _reps(t):
@@ -294,7 +303,7 @@ def alignment_merges(t):
 def alias_table(t):
     reps = _reps(t)
     entities, mapped = L.apply_merges(reps, _merges(t), checkpoint)
-    mentions = t.lineitem.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("mention"), F.col("l_partkey").alias("entity")).join(reps.select("entity", "name", "type"), "entity")
+    mentions = t.lineitem.select(_edge().alias("mention"), F.col("l_partkey").alias("entity")).join(reps.select("entity", "name", "type"), "entity")
     return L.alias_table(mentions, mapped, entities)
 
 
