@@ -98,10 +98,9 @@ def chunk_score() -> Column:
     return F.round(_chunk_base(True) + _at_most(8.0, _phrases("phrases", "key") * 2.0), 4)
 
 
-def two_stage(pairs: DataFrame, by: str, item: str, cheap: Column, full: Callable[[], Column], pool: int, k: int) -> DataFrame:
-    """The k best of each group by a full score, which only the pool best by a cheap score get."""
-    kept = top(pairs.withColumn("_cheap", cheap), by, F.desc("_cheap"), item, k=pool, name="_pool").drop("_pool", "_cheap")
-    return top(kept.withColumn("score", full()).where("score > 0"), by, F.desc("score"), item, k=k)
+def pool(pairs: DataFrame, by: str, item: str, cheap: Column, most: int) -> DataFrame:
+    """(by, item) of the best of each group by a cheap score; pairs carry only what that score needs."""
+    return top(pairs.select(by, item, F.round(cheap, 6).alias("_cheap")), by, F.desc("_cheap"), item, k=most, name="_pool").select(by, item)
 
 
 def rare_tokens(claims: DataFrame, items: DataFrame, item: str, rarest: int = 20, most: int = 500) -> DataFrame:
@@ -137,11 +136,17 @@ def _claim_side(claims: DataFrame) -> DataFrame:
     return claims.withColumnRenamed("years", "claim_years").withColumnRenamed("tokens", "claim_tokens")
 
 
-def facts(claims: DataFrame, edges: DataFrame, chunks: DataFrame, candidates: DataFrame, pool: int = 1500, k: int = 8) -> DataFrame:
-    """(id, edge, chunk, score, rank): the best facts of each claim among its candidates."""
+def facts(claims: DataFrame, edges: DataFrame, chunks: DataFrame, candidates: DataFrame, most: int = 1500, k: int = 8) -> DataFrame:
+    """(id, edge, chunk, score, rank): the best facts of each claim among its candidates.
+
+    Candidates meet narrow rows first; texts and phrases join only the most that are left.
+    """
+    asked = _claim_side(claims)
     full = edges.join(chunks.select("chunk", F.col("years").alias("chunk_years")), "chunk", "left")
-    pairs = candidates.select("id", "edge").distinct().join(_claim_side(claims), "id").join(full, "edge")
-    return two_stage(pairs, "id", "edge", cheap_edge_score(), edge_score, pool, k).select("id", "edge", "chunk", "score", "rank")
+    narrow = candidates.select("id", "edge").distinct().join(full.select("edge", "source", "target", "type", "years", "chunk_years", "tokens"), "edge")
+    kept = pool(narrow.join(asked.select("id", "nodes", "claim_years", "claim_tokens", "types"), "id"), "id", "edge", cheap_edge_score(), most)
+    scored = kept.join(full, "edge").join(asked, "id").select("id", "edge", "chunk", edge_score().alias("score")).where("score > 0")
+    return top(scored, "id", F.desc("score"), "edge", k=k)
 
 
 def candidate_chunks(claims: DataFrame, found: DataFrame, chunks: DataFrame, node_chunks: DataFrame, tokens: int = 20, postings: int = 200) -> DataFrame:
@@ -158,13 +163,19 @@ def candidate_chunks(claims: DataFrame, found: DataFrame, chunks: DataFrame, nod
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def linked_chunks(claims: DataFrame, found: DataFrame, chunks: DataFrame, node_chunks: DataFrame, candidates: DataFrame, pool: int = 700, k: int = 3) -> DataFrame:
+def linked_chunks(claims: DataFrame, found: DataFrame, chunks: DataFrame, node_chunks: DataFrame, candidates: DataFrame, most: int = 700, k: int = 3) -> DataFrame:
     """(id, chunk, score, rank): the best chunks of each claim, with the support of its chosen facts."""
     support = found.where("chunk IS NOT NULL").groupBy("id", "chunk").agg(F.sum("score").alias("fact_score"))
     nodes = claims.select("id", F.explode("nodes").alias("node")).join(node_chunks.distinct(), "node").groupBy("id", "chunk").agg(F.count(F.lit(1)).alias("n_nodes"))
-    pairs = candidates.select("id", "chunk").distinct().join(_claim_side(claims), "id").join(chunks, "chunk")
-    pairs = pairs.join(support, ["id", "chunk"], "left").join(nodes, ["id", "chunk"], "left")
-    return two_stage(pairs, "id", "chunk", cheap_chunk_score(), chunk_score, pool, k).select("id", "chunk", "score", "rank")
+    asked = _claim_side(claims)
+
+    def featured(pairs: DataFrame, claim: DataFrame, chunk: DataFrame) -> DataFrame:
+        return pairs.join(chunk, "chunk").join(claim, "id").join(support, ["id", "chunk"], "left").join(nodes, ["id", "chunk"], "left")
+
+    narrow = featured(candidates.select("id", "chunk").distinct(), asked.select("id", "claim_years", "claim_tokens"), chunks.select("chunk", "years", "tokens"))
+    kept = pool(narrow, "id", "chunk", cheap_chunk_score(), most)
+    scored = featured(kept, asked, chunks).select("id", "chunk", chunk_score().alias("score")).where("score > 0")
+    return top(scored, "id", F.desc("score"), "chunk", k=k)
 
 
 def retrieve(claims: DataFrame, edges: DataFrame, chunks: DataFrame, node_chunks: DataFrame, node_years: DataFrame, top_facts: int = 8, top_chunks: int = 3) -> tuple[DataFrame, DataFrame]:
