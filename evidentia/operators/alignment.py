@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .graph import components
+from .graph_scores import number
 
 #: Salience of entity and relation types, and precedence of types in a merge.
 ENTITY_PRIORITY = {"Event": 60, "Person": 55, "Organization": 55, "Place": 45, "Time": 45, "Concept": 20}
@@ -115,15 +116,15 @@ def groups(reps: DataFrame, write: Callable[[DataFrame], DataFrame], seeds: list
     return once.select("group", "kind", "members")
 
 
-def state_windows(reps: DataFrame, samples: str = "samples") -> DataFrame:
-    """(entity, members): states among at most two neighbours on either side in order of (fold, type, entity).
+def state_windows(reps: DataFrame, write: Callable[[DataFrame], DataFrame], samples: str = "samples") -> DataFrame:
+    """(entity, members): each state with at most two neighbours on either side in order of (fold, type, entity).
 
-    Only representatives with a cue of a state are ordered, by the first letters of the fold
-    and then in full within; windows do not cross first letters.
+    Representatives with a cue of a state are numbered by range, then meet their neighbours' numbers.
     """
-    rows = reps.where(is_state(F.col("type"), F.col("key"), F.col(samples)))
-    w = Window.partitionBy(F.left("fold", F.lit(1))).orderBy("fold", "type", "entity").rowsBetween(-2, 2)
-    return rows.select("entity", F.array_sort(F.collect_list("entity").over(w)).alias("members")).where(F.size("members") >= 2)
+    rows = reps.where(is_state(F.col("type"), F.col("key"), F.col(samples))).select("entity", "type", "fold")
+    rows = number(rows, ["fold", "type", "entity"], "no", "%d", write).select("entity", F.col("no").cast("long").alias("no"))
+    near = rows.select("entity", F.explode(F.sequence(F.col("no") - 2, F.col("no") + 2)).alias("no")).join(rows.select("no", F.col("entity").alias("member")), "no")
+    return near.groupBy("entity").agg(F.array_sort(F.collect_list("member")).alias("members")).where(F.size("members") >= 2)
 
 
 def apply_merges(reps: DataFrame, merges: DataFrame, write: Callable[[DataFrame], DataFrame], least: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -143,6 +143,13 @@ def test_alignment(spark):
     assert {(r.entity, r.root) for r in mapped.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
 
 
+def test_state_windows(spark):
+    rows = [(i, "Place", f"{'abc'[i % 3]}{i}", f"{'abc'[i % 3]}{i}", "chính phủ" if i != 4 else "") for i in range(9)]
+    got = alignment.state_windows(spark.createDataFrame(rows, "entity long, type string, key string, fold string, samples string"), write)
+    order = [0, 3, 6, 1, 7, 2, 5, 8]
+    assert {r.entity: r.members for r in got.collect()} == {e: sorted(order[max(0, n - 2) : n + 3]) for n, e in enumerate(order)}
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(50).select((F.col("id") * 7 % 50).alias("k"))
     got = graph_scores.number(rows, ["k"], "name", "u%06d", write).collect()
@@ -195,3 +202,23 @@ def test_pages_and_chunks(spark):
     assert [r.prev_id for r in linked] == [None, "0", "1"] and linked[1].contextual_text == linked[1].text and linked[2].contextual_text.endswith(linked[2].text) and len(linked[2].contextual_text) > len(linked[2].text)
     n = {(r.section, r.item): r.n for r in reports.corpus(records, chunks).collect()}
     assert n["pages", "none"] == 2 and n["chunks", "lesson"] == 2
+
+
+def test_extraction(spark):
+    from evidentia.operators import extraction
+
+    answer = """```json
+{"entities": [{"local_id": "a", "type": "Person", "name": " An  Lee ", "aliases": ["x", "x", " "], "years": ["1945", "12"], "evidence_text": "in 1946", "confidence": 2},
+ {"local_id": "a", "type": "Place", "name": "Hue"}, {"type": "Dragon", "name": "d"}, {"type": "Event", "name": ""}, {"type": "Event", "name": "war"}],
+ "relations": [{"source": "a", "target": "e5", "type": "PARTICIPATED_IN"}, {"source": "a", "target": "zz", "type": "CAUSES"}, {"source": "a", "target": "e2", "type": "EATS"}]}
+```"""
+    answers = spark.createDataFrame([("c", answer), ("d", "no idea"), ("e", None)], "chunk string, answer string")
+    found = extraction.entities(answers)
+    got = {r.pos: r for r in found.collect()}
+    assert [(got[i].local_id, got[i].warning) for i in (1, 2, 5)] == [("a", None), ("e2", None), ("e5", None)] and len(got) == 5
+    assert (got[1].name, got[1].aliases, got[1].years, got[1].confidence) == ("An Lee", ["x", "x"], [1945, 1946], 1.0)
+    assert got[3].warning == "skipped entity with invalid type: Dragon" and got[4].warning == "skipped entity with empty name"
+    rel = {r.pos: r.warning for r in extraction.relations(answers, found).collect()}
+    assert rel == {1: None, 2: "skipped relation with unknown endpoint: a->zz", 3: "skipped relation with invalid type: EATS"}
+    rows = extraction.audit_rows(extraction.relations(answers, found).where("warning IS NULL"), found, spark.createDataFrame([("c", "t  t")], "chunk string, text string")).collect()
+    assert [(r.source_name, r.target_name, r.passage) for r in rows] == [("An Lee", "war", "t t")]
