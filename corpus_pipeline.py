@@ -1,20 +1,28 @@
 """From documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-documents. Near copies are judged on five-word shingles at similarity 0.8. run() writes
+documents. A row without doc_id is a document of its own and ranks after all others. Near copies are judged on five-word shingles at similarity 0.8. run() writes
 each stage's rows to the shared folder, so a lost executor costs one stage at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidentia.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
 from evidentia.llm.common import materialise, table
 
 
-def _only(docs: DataFrame, decided: DataFrame, condition: str) -> DataFrame:
-    return docs.join(decided.where(condition).select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+def _only(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """The rows of docs whose decision meets the condition; rows without doc_id are numbered down from the greatest long for it."""
+    own = F.lit(2**63 - 1) - F.monotonically_increasing_id()
+    unnamed = materialise(docs.where("doc_id IS NULL").withColumn("doc_id", own).withColumn("unnamed", F.lit(True)), "unnamed")
+    named = docs.where("doc_id IS NOT NULL").withColumn("unnamed", F.lit(False)).unionByName(unnamed)
+    kept = named.join(decide(named).where(condition).select("doc_id"), "doc_id", "left_semi")
+    return kept.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.exact_dedup(docs), "kept")
+    return _only(docs, exact_dedup.exact_dedup, "kept")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup.near_components(docs), "kept")
+    return _only(docs, near_dedup.near_components, "kept")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark")), "NOT contaminated")
+    return _only(docs, lambda d: decontamination.contamination(d, table(spark, sf_dir, "benchmark")), "NOT contaminated")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,3 +94,14 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_id_are_decided_one_by_one(spark, folder):
+    r = random.Random(3)
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    clean, named = prose(r, 80), prose(r, 80)
+    rows = [(None, clean), (None, clean), (None, named), (1, named), (None, prose(r, 30) + " " + item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, folder)
+    assert sorted(((x.doc_id, x.text) for x in docs.collect()), key=str) == sorted([(None, clean), (1, named)], key=str)
