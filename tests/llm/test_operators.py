@@ -413,6 +413,17 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.passages(none).count() == 0
 
 
+def test_seeds_of_very_long_texts():
+    import numpy as np
+
+    hashes = np.random.default_rng(1).integers(0, 2**63, 2**22 + 5_000).astype(np.uint64)
+    at, h = substring_dedup.seeds_of(hashes)
+    tail, g = substring_dedup.seeds_of(hashes[-4_000:])
+    far = at >= 2**22 + 1_000
+    assert set((tail + 2**22 + 1_000).tolist()) == set(at[far].tolist()) and set(g.tolist()) == set(h[far].tolist())
+    assert max(np.diff(at)) <= substring_dedup.WINDOW
+
+
 def test_chains_are_collinear_and_best():
     r = random.Random(8)
     for _ in range(50):
