@@ -5,7 +5,8 @@ parts that their tag or class marks as furniture. The page votes for the general
 tag-class path of its best container; votes are counted per host in Spark, already
 summed in each task, so a host with a third of all pages sends few rows. Every page is
 then extracted again from the nodes on its host's winning paths, in the order of votes;
-a page that has none of them falls back to its own best container.
+a page that has none of them, or only far smaller text on them, falls back to its own
+best container.
 
 Blocks are the runs of text between block tags; white space in a block becomes one
 space, blocks are joined in page order by one space.
@@ -49,14 +50,22 @@ _FURNITURE = frozenset(
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations pagination pager tags "
     "tagcloud copyright legal disclaimer toolbar topbar teaser skip".split()
 )
+#: Never furniture by their classes.
+_BODY = frozenset("html body article main".split())
+#: A class that says what a container has or lacks, and one that names a part of the article.
+_SAYS = re.compile(r"(?:has|with|without|no|not)[-_]")
+_OF_ARTICLE = re.compile(r"(?:article|entry|post|story|page|content)[-_]+(?:header|masthead|banner)$")
+#: Shares of a page's text: from it on a container is no furniture by a class piece; of its own best container's text, under it a path's text is passed over.
+MOST, FAR_SMALLER = 0.75, 0.25
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 class Node:
-    __slots__ = ("tag", "path", "bad", "own", "link", "h1", "kids", "parts")
+    __slots__ = ("tag", "path", "bad", "piece", "own", "link", "h1", "kids", "parts")
 
     def __init__(self, tag: str, path: str, bad: bool):
         self.tag, self.path, self.bad = tag, path, bad
+        self.piece = False  # furniture by a piece of a class alone
         self.own = self.link = 0
         self.h1 = False
         self.kids: list[Node] = []
@@ -70,10 +79,29 @@ def _classes(attrs: str) -> list[str]:
     return out
 
 
-def _is_furniture(tag: str, classes: list[str], in_article: bool) -> bool:
+def _is_furniture(tag: str, classes: list[str], in_article: bool) -> tuple[bool, bool]:
+    """Whether a container is furniture by its tag or a whole class, and by a piece of a class."""
     if tag in _NEVER or tag == "header" and not in_article:
-        return True
-    return any(c in _FURNITURE or not _FURNITURE.isdisjoint(re.split(r"[-_\d]+", c)) for c in classes)
+        return True, False
+    if tag in _BODY:
+        return False, False
+    if any(c in _FURNITURE for c in classes):
+        return True, False
+    return False, any(not (_SAYS.match(c) or _OF_ARTICLE.match(c) or _FURNITURE.isdisjoint(re.split(r"[-_\d]+", c))) for c in classes)
+
+
+def _settle(root: Node) -> None:
+    """Make furniture of containers marked by a class piece, unless they hold MOST of the page's text, and of all that furniture holds."""
+    order, size = [root], {}
+    for x in order:
+        order += x.kids
+    for x in reversed(order):
+        size[id(x)] = 0 if x.bad else max(0, x.own - 2 * x.link) + sum(size[id(k)] for k in x.kids)
+    for x in order:
+        x.bad = x.bad or x.piece and size[id(x)] < MOST * size[id(root)]
+        if x.bad:
+            for k in x.kids:
+                k.bad = True
 
 
 def parse(html: str) -> Node:
@@ -136,7 +164,8 @@ def parse(html: str) -> Node:
                 classes = _classes(m[3]) if m[3] else []
                 kind = ".".join(sorted({_DIGITS.sub("#", c) for c in classes}))
                 article = inside.path.find("/article") >= 0 or inside.path.find("/main") >= 0
-                node = Node(tag, f"{inside.path}/{tag}" + (f".{kind}" if kind else ""), inside.bad or _is_furniture(tag, classes, article))
+                node = Node(tag, f"{inside.path}/{tag}" + (f".{kind}" if kind else ""), False)
+                node.bad, node.piece = _is_furniture(tag, classes, article)
                 inside.kids.append(node)
                 inside.parts.append(node)
                 stack.append((tag, node))
@@ -144,6 +173,7 @@ def parse(html: str) -> Node:
                 stack.append((tag, inside))
                 links += tag == "a"
         for_ = _TAG.search(html, at)
+    _settle(root)
     return root
 
 
@@ -205,10 +235,11 @@ def extract(html: str | None, paths: list[str]) -> str:
     if not html:
         return ""
     root = parse(html.replace("\0", " "))
+    own = text_of([best(root)])
     for p in paths:
-        if text := text_of(on_path(root, p)):
+        if (text := text_of(on_path(root, p))) and len(text) >= FAR_SMALLER * len(own):
             return text
-    return text_of([best(root)])
+    return own
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)"

@@ -458,6 +458,25 @@ def test_html_extraction(spark):
         assert r.text == want and r.n_chars == len(want)
 
 
+def test_class_pieces_do_not_empty_pages():
+    text = "Some text that goes on for a while, as pages do."
+    for whole in (
+        f'<body class="has-sidebar"><h1>Title</h1><p>{text}</p></body>',
+        f'<body class="widget-page"><h1>Title</h1><p>{text}</p></body>',
+        f'<body><div class="content with-sidebar"><h1>Title</h1><p>{text}</p></div></body>',
+        f'<body><div class="search-result"><h1>Title</h1><p>{text}</p></div><div class="post-comments">Nice</div></body>',
+        f'<body><article class="post no-comments"><h1>Title</h1><p>{text}</p></article></body>',
+        f'<body><article><div class="article-header"><h1>Title</h1></div><p>{text}</p><div class="post-comments">Nice</div></article></body>',
+    ):
+        assert html_extraction.extract(f"<html>{whole}</html>", []) == f"Title {text}"
+
+
+def test_small_node_on_another_template_path():
+    body = "A long article of the second template. " * 8
+    page = f'<html><body><div class="intro">Short</div><div class="text"><p>{body}</p></div></body></html>'
+    assert html_extraction.extract(page, ["/html/body/div.intro", "/html/body/div.text"]) == body.strip()
+
+
 def test_html_join_equals_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.example.com/{i}", page(f"T {i}", "<p>" + "body text " * (i + 3) + "</p>")) for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
