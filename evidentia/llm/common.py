@@ -32,9 +32,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     def remove() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone by then
             pass
 
@@ -42,12 +40,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_scratch(*frames: DataFrame) -> None:
+    """Delete tables that materialise wrote and no later step reads."""
+    for df in frames:
+        _remove(df.sparkSession, df._scratch)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

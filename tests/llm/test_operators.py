@@ -404,15 +404,59 @@ def test_components(spark):
 def test_substring_dedup(docs, none):
     rows = substring_dedup.passages(docs).collect()
     linked = {frozenset((r.doc_id, r.match_id)) for r in rows}
-    ids = {i for p in linked for i in p}
+    ids = {r.doc_id for r in rows}
+    assert ids == {i for p in linked for i in p}  # both directions
     assert {40, 41, 42, 43} <= ids and not ids & set(range(61, 80)) and 90 not in ids
     for r in rows:
         a, b = substring_dedup.words_of(TEXT[r.doc_id])[r.start : r.end], substring_dedup.words_of(TEXT[r.match_id])[r.match_start : r.match_end]
-        assert r.n_equal >= substring_dedup.MIN_WORDS and r.identity >= substring_dedup.IDENTITY and min(len(a), len(b)) >= r.n_equal
+        assert r.identity >= substring_dedup.IDENTITY and min(len(a), len(b)) >= r.n_equal >= 40
     assert set(range(10, 22)) <= ids  # fuzzy copies
     assert substring_dedup.passages(none).count() == 0
 
 
+def test_edited_passages_are_found(spark):
+    r = random.Random(11)
+    rows, want = [], []
+    for k in range(0, 80, 2):
+        p = prose(r, 80).split()
+        q = [prose(r, 1) if r.random() < 1 / 8 else w for w in p]
+        rows += [(k + x, f"{prose(r, 60)} {' '.join(w)} {prose(r, 60)}") for x, w in ((0, p), (1, q))]
+        want.append((k, k + 1))
+    got = {(x.doc_id, x.match_id) for x in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(p in got and p[::-1] in got for p in want) >= 0.95 * len(want)
+
+
+def test_holders_meet_where_leaders_share_less(spark):
+    r = random.Random(12)
+    p = prose(r, 70).split()
+    head, tail = " ".join(p[:38]), " ".join(p[-38:])
+    rows = [(k, f"{prose(r, 80)} {' '.join(p)} {prose(r, 80)}") for k in range(10, 30)]
+    rows += [(1, head), (2, tail), (3, f"{head} {prose(r, 900)} {tail}")]  # shorter and longer than all others
+    rows += [(4, None), (None, " ".join(p))]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got if x.end - x.start >= 70 and x.identity == 1.0} == set(range(10, 30))
+
+
+def test_gap_alignment_is_a_longest_common_subsequence():
+    import numpy as np
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + 1 if x == y else 0, row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    r = random.Random(13)
+    for _ in range(300):
+        a, b = ([r.randrange(6) for _ in range(r.randint(0, 12))] for _ in range(2))
+        equal, columns = substring_dedup._gap(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert max(len(a), len(b)) <= columns <= len(a) + len(b)
+        assert equal == lcs(a, b) or len(a) == len(b) and equal >= 0.8 * len(a)
+
+
 def test_seeds_of_very_long_texts():
     import numpy as np
 
