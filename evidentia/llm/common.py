@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -56,9 +57,12 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def drop_scratch(*frames: DataFrame) -> None:
-    """Delete tables that materialise wrote and no later step reads."""
+    """Delete tables that materialise wrote and no later step reads. The driver's garbage is collected
+    too, since Spark deletes the shuffle files of past steps only once their plans are garbage."""
     for df in frames:
         _remove(df.sparkSession, df._scratch)
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
