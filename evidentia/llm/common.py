@@ -97,3 +97,15 @@ class Sent:
         if not self._own:
             self._own.append(cloudpickle.loads(self._sent.value))
         return self._own[0]
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id (long), text, unnamed: rows without doc_id are numbered down from the greatest long, and written, so
+    that they keep their number when a task runs again; unnamed tells them."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blank = rows.where("doc_id IS NULL")
+    out = rows.where("doc_id IS NOT NULL").withColumn("unnamed", F.lit(False))
+    if blank.isEmpty():
+        return out
+    own = F.lit(2**63 - 1) - F.monotonically_increasing_id()
+    return out.unionByName(materialise(blank.select(own.alias("doc_id"), "text", F.lit(True).alias("unnamed")), "unnamed"))

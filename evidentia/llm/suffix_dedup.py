@@ -5,7 +5,7 @@ its first SPAN positions. Equal windows have equal anchors at equal offsets, so
 enough to bring together the suffixes that start at anchors (about one in SPAN / 2
 bytes): those that share the CORE bytes after the anchor, which lie in all its windows.
 
-1. Anchors are stored with a hash of their core; cores that occur once are dropped.
+1. Hashes of cores are counted, and only anchors whose core occurs twice are kept.
 2. Each task sorts its suffixes by bucket of core, folds those of equal context into one,
    and writes front-coded runs: of each suffix the common prefix with the one before it
    and the rest.
@@ -13,12 +13,14 @@ bytes): those that share the CORE bytes after the anchor, which lie in all its w
    head with the last suffix put out: heads are told apart by those lengths, and bytes are
    compared only beyond them. Suffixes that share their core come out together, and the
    windows around their anchors are compared byte for byte.
-Cores with more than HOT suffixes are not brought together: their windows are dealt out
-by a hash of the window, so no task holds such a group.
+Cores with more than HOT suffixes are not brought together: each task folds their equal
+windows byte for byte, and what is left meets by a 128-bit hash of the window, counted
+before the exchange, so no task holds such a group or one hot window's holders.
 
 Defined cases: null text is empty text (0 bytes, digest of nothing). Texts under LENGTH
 bytes lose nothing. Rows that repeat a document are copies of it and lose all that is
-LENGTH bytes long. doc_id identifies a document. Other columns are ignored.
+LENGTH bytes long. doc_id identifies a document; each row without one is a document of
+its own, and its result has no doc_id either. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import drop_scratch, materialise, named, small_batches, table
 
 LENGTH, SPAN = 200, 128
 CORE = LENGTH - SPAN + 1
@@ -85,23 +87,38 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def stored_anchors(docs: DataFrame) -> DataFrame:
+def _anchored(docs: DataFrame, work, schema: str) -> DataFrame:
+    """work(ids, anchors of each text) for each batch, as columns of schema."""
     small_batches(docs.sparkSession)
-    names = "doc_id long, a int, lo int, hi int, core long"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cols = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = anchors((t.as_py() or "").encode())
-                ids.append(np.full(len(found[0]), i, np.int64))
-                cols.append(found)
-            if ids:
-                a, lo, hi, core = (np.concatenate(c) for c in zip(*cols, strict=True))
-                parts = [np.concatenate(ids), a.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), core]
-                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=[x.split()[0] for x in names.split(", ")])
+            if b.num_rows:
+                found = [anchors((t.as_py() or "").encode()) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(b.column(0).to_pylist(), found)], names=names)
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, names), "anchors")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def repeated_cores(docs: DataFrame) -> DataFrame:
+    """core, n: the cores that occur twice. Anchors of other cores are never stored."""
+
+    def count(_: list[int], found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([f[3] for f in found]), return_counts=True)
+
+    counts = _anchored(docs, count, "core long, n long")
+    return materialise(counts.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1"), "cores")
+
+
+def anchor_table(docs: DataFrame) -> DataFrame:
+    """doc_id, core, at: every anchor; at holds its place and the bytes to its first and last window."""
+
+    def rows(ids: list[int], found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        a, lo, hi, core = (np.concatenate(c) for c in zip(*found, strict=True))
+        return np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found]), core, a << 16 | (a - lo) << 8 | (hi - lo)
+
+    return _anchored(docs, rows, "doc_id long, core long, at long")
 
 
 # -- front-coded runs --------------------------------------------------------
@@ -263,8 +280,8 @@ RUN_BYTES = 48 << 20
 
 
 def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
-    """From (doc_id, text, anchors) the runs of each bucket (bucket >= 0: suffixes, hot windows in
-    buckets from `buckets` on) and what is known to repeat within a task (bucket -1)."""
+    """From (doc_id, text, anchors) the front-coded runs of each bucket (bucket >= 0), the windows of hot
+    cores (bucket -2: records of digest, document and start) and what repeats within a task (bucket -1)."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +290,8 @@ def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             known: dict[int, list[tuple[int, int]]] = {}
-            dealt: dict[int, list[bytes]] = {}
+            windows: dict[bytes, tuple[int, int]] = {}  # a window's one holder here, or -1 for several
             for bucket, entries in sorted(rows.items()):
-                hot = bucket >= buckets
                 entries.sort()
                 folded: list[Entry] = []
                 x = 0
@@ -291,69 +307,87 @@ def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
                     else:
                         folded.append(entries[x])
                     x = y
-                if not hot:
+                if bucket >= 0:
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([None], pa.int64()), pa.array([front_code(folded)], pa.binary())], names=["bucket", "doc_id", "blob"])
                     continue
                 for suffix, left, doc, lo in folded:
                     text = left + suffix
                     for s in range(len(text) - LENGTH + 1):
-                        h = xxhash.xxh3_128_digest(text[s : s + LENGTH])
-                        dealt.setdefault(buckets + int.from_bytes(h[:8], "little") % buckets, []).append(h + struct.pack("<qi", doc, lo + s))
-            for bucket, items in dealt.items():
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([None], pa.int64()), pa.array([b"".join(items)], pa.binary())], names=["bucket", "doc_id", "blob"])
+                        w = text[s : s + LENGTH]
+                        if w not in windows:
+                            windows[w] = (doc, lo + s)
+                            continue
+                        for d, at in (windows[w], (doc, lo + s)):  # equal bytes, told within the task
+                            if d >= 0:
+                                known.setdefault(d, []).append((at, at))
+                        windows[w] = (-1, 0)
+            blobs = [xxhash.xxh3_128_digest(w) + struct.pack("<qi", doc, at) for w, (doc, at) in windows.items()]
+            if blobs:
+                yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int64()), pa.array([None], pa.int64()), pa.array([b"".join(blobs)], pa.binary())], names=["bucket", "doc_id", "blob"])
             yield from _spans(known)
 
         for b in batches:
             for i, t, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = (t.as_py() or "").encode()
                 for f in found:
-                    a, lo, hi = f["a"], f["lo"], f["hi"]
-                    bucket = buckets if f["hot"] else f["core"] % buckets
+                    at = f["at"]
+                    a, lo = at >> 16, (at >> 16) - (at >> 8 & 255)
+                    hi = lo + (at & 255)
+                    bucket = -2 if f["hot"] else f["core"] % buckets
                     rows.setdefault(bucket, []).append((data[a : hi + LENGTH], data[lo:a], i, lo))
-                    size += hi + LENGTH - lo + 150
-            if size > RUN_BYTES:
-                yield from flush()
-                rows, size = {}, 0
+                    size += (hi - lo + 1) * (LENGTH + 100) if f["hot"] else hi + LENGTH - lo + 150
+                if size > RUN_BYTES:
+                    yield from flush()
+                    rows, size = {}, 0
         yield from flush()
 
     return materialise(texts.select("doc_id", "text", "anchors").mapInArrow(run, _OUT), "runs")
 
 
-def merged(runs: DataFrame, buckets: int) -> DataFrame:
+def merged(runs: DataFrame) -> DataFrame:
     """doc_id, blob: the windows that repeat, from the merge of each bucket's runs."""
 
     def work(t: pa.Table) -> pa.Table:
         found: dict[int, list[tuple[int, int]]] = {}
-        blobs = [x.as_py() for x in t.column("blob")]
-        if t.column("bucket")[0].as_py() >= buckets:
-            seen: dict[bytes, bytes | None] = {}
-            for blob in blobs:
-                for x in range(0, len(blob), 28):
-                    h, who = blob[x : x + 16], blob[x + 16 : x + 28]
-                    if h not in seen:
-                        seen[h] = who
-                        continue
-                    for w in (seen[h], who):
-                        if w is not None:
-                            doc, s = struct.unpack("<qi", w)
-                            if doc != -1:
-                                found.setdefault(doc, []).append((s, s))
-                    seen[h] = None
-        else:
-            group: list[Entry] = []
-            for lcp, entry in LoserTree([decode(b) for b in blobs]):
-                if lcp < CORE and group:
-                    if len(group) > 1:
-                        for doc, a, b in repeated(group):
-                            found.setdefault(doc, []).append((a, b))
-                    group = []
-                group.append(entry)
+        group: list[Entry] = []
+
+        def close() -> None:
             if len(group) > 1:
                 for doc, a, b in repeated(group):
                     found.setdefault(doc, []).append((a, b))
+
+        for lcp, entry in LoserTree([decode(x.as_py()) for x in t.column("blob")]):
+            if lcp < CORE and group:
+                close()
+                group = []
+            group.append(entry)
+        close()
         return pa.Table.from_batches(list(_spans(found)), pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("blob", pa.binary())]))
 
-    return runs.where("bucket >= 0").groupBy("bucket").applyInArrow(work, _OUT)
+    return runs.where("bucket >= 0").groupBy("bucket").applyInArrow(work, _OUT).select("doc_id", "blob")
+
+
+def hot_windows(runs: DataFrame) -> DataFrame:
+    """doc_id, blob: the windows of hot cores that several tasks hold. Tasks have folded equal windows, counts
+    are added up before the exchange, and the holders meet them in a join that can be split."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([("h", "<i8"), ("g", "<i8"), ("doc", "<i8"), ("at", "<i4")])
+        for b in batches:
+            for blob in b.column(0):
+                x = np.frombuffer(blob.as_py(), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in kind.names], names=list(kind.names))
+
+    rows = runs.where("bucket = -2").select("blob").mapInArrow(unpack, "h long, g long, doc long, at int")
+    several = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
+    held = rows.where("doc >= 0").join(several, ["h", "g"]).select(F.col("doc").alias("doc_id"), "at")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = np.repeat(b.column(1).to_numpy().astype("<i4"), 2).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["doc_id", "blob"])
+
+    return held.mapInArrow(spans, "doc_id long, blob binary")
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -373,21 +407,24 @@ def _removed(data: bytes, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, blobs: for documents that hold repeated windows, their starts as pairs of int32."""
-    small_batches(docs.sparkSession)
-    stored = stored_anchors(docs)
-    cores = materialise(stored.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
+    cores = repeated_cores(docs)
     total = cores.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * 300 // BUCKET_BYTES))
-    few = stored.join(cores, "core").groupBy("doc_id").agg(F.collect_list(F.struct("a", "lo", "hi", "core", (F.col("n") > HOT).alias("hot"))).alias("anchors"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id")
-    runs = sorted_runs(texts, buckets)
-    found = runs.where("bucket < 0").select("doc_id", "blob").unionByName(merged(runs, buckets).select("doc_id", "blob"))
-    return materialise(found, "found").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
+    few = anchor_table(docs).join(cores, "core").groupBy("doc_id").agg(F.collect_list(F.struct("at", "core", (F.col("n") > HOT).alias("hot"))).alias("anchors"))
+    few = materialise(few, "anchors")
+    drop_scratch(cores)
+    runs = sorted_runs(docs.select("doc_id", "text").join(few, "doc_id"), buckets)
+    drop_scratch(few)
+    found = runs.where("bucket = -1").select("doc_id", "blob").unionByName(merged(runs)).unionByName(hot_windows(runs))
+    found = materialise(found, "found")
+    drop_scratch(runs)
+    return found.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(repeated_windows(docs), "doc_id", "left")
+    docs = named(docs)
+    marked = docs.select("doc_id", "text", "unnamed").join(repeated_windows(docs), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -401,7 +438,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in _RESULT.split(", ")])
 
-    return marked.select("doc_id", "text", "blobs").mapInArrow(run, _RESULT)
+    rows = marked.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "text", "blobs")
+    return rows.mapInArrow(run, _RESULT)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,12 +323,25 @@ def suffix_brute(rows) -> dict[int, tuple]:
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_suffix_dedup(docs, none, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    rows = [(i, t) for i, t, *_ in ROWS if i != 90]
-    got = {r.doc_id: tuple(r) for r in suffix_dedup.suffix_dedup(docs.where("doc_id <> 90")).collect()}
+    rows = [(i, t) for i, t, *_ in ROWS]
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect()}
     assert got == suffix_brute(rows)
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_dedup_without_ids_and_hot_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(6)
+    shared = prose(r, 60)
+    texts = [f"{prose(r, 20)} {shared} {prose(r, 20)}" for _ in range(30)] + [shared, shared, prose(r, 50)]
+    rows = [(None if k % 5 == 0 else k, t) for k, t in enumerate(texts)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = suffix_brute(list(enumerate(texts)))
+    assert sorted(tuple(x[1:]) for x in got) == sorted(x[1:] for x in want.values())
+    assert all(tuple(x) == want[x.doc_id] for x in got if x.doc_id is not None) and sum(x.doc_id is None for x in got) == 7
+
+
 def test_loser_tree_never_compares_known_prefixes():
     r = random.Random(1)
     runs, every = [], []
