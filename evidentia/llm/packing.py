@@ -2,11 +2,11 @@
 
 Documents become token ids, an end id is added, and only pieces longer than a sequence
 are cut. The histogram of piece lengths has at most `capacity` entries whatever the
-corpus. The configuration program (hold every length as often as it occurs by multiples
-of fillings of a sequence) is solved by multiplicative weights: each round prices lengths,
-a knapsack dynamic program finds the filling of highest price, and the prices of the
-lengths that it holds fall. A round's multiple is rounded down to whole sequences as it is
-taken, so what rounding leaves is priced again in later rounds.
+corpus. The configuration program (hold every length as often as it occurs by fractional
+multiples of fillings of a sequence) is solved by multiplicative weights, priced by a
+knapsack dynamic program over all lengths, until its value meets the bound of its prices.
+The multiples are rounded down, and what that leaves, at most a sequence a column, is
+packed best-fit.
 
 The plan is a table of ranges: pieces of length l with ranks from a to b go to
 sequences counted from s. Its size is bounded by the program, not by the corpus. Ranks
@@ -20,6 +20,7 @@ give repeated pieces, each with its own place. Empty tables give empty results.
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -33,76 +34,151 @@ from .common import Sent, materialise, small_batches, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Exponent of the first prices, rate at which they fall, and lengths priced in a round.
-CONVEX, RATE, PRICED = 1.2, 0.05, 192
+#: Rate at which prices fall, share of its pieces that a column may take in a round, how far below the
+#: dearest a column may be, rounds at most, and gap between value and bound that counts as solved.
+RATE, STEP, NEAR, ROUNDS, CLOSE = 0.05, 0.5, 0.005, 800, 0.001
 
 
 # -- the program -------------------------------------------------------------
 
+Filling = dict[int, int]  # length: multiple
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
-    """Filling of highest price: index of a length to its multiple, at most its count.
 
-    best[c] is the highest price within c tokens; lengths are tried one after another
-    with up to count copies each (binary splitting), and choices are read back.
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[c], the highest price within c tokens, and the index of a piece that it ends with (-1: a token is left free).
+
+    Dynamic programming over c; each step tries every length at once.
     """
-    best, took = np.zeros(capacity + 1), []
-    for i in np.argsort(-prices / lengths, kind="stable"):
-        n, k = int(min(counts[i], capacity // lengths[i])), 1
-        if prices[i] <= 0:
-            continue
-        while n > 0:
-            m = min(k, n)
-            size, gain = int(m * lengths[i]), m * prices[i]
-            if size > capacity:
-                break
-            new = best.copy()
-            new[size:] = np.maximum(best[size:], best[:-size] + gain)
-            took.append((i, m, size, new > best))
-            best, n, k = new, n - m, k * 2
-    out: dict[int, int] = {}
-    c = capacity
-    for i, m, size, better in reversed(took):
-        if better[c]:
-            out[int(i)] = out.get(int(i), 0) + m
-            c -= size
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for c in range(1, capacity + 1):
+        k = upto[c]
+        best[c] = best[c - 1]
+        if k:
+            found = best[c - lengths[:k]] + prices[:k]
+            j = int(found.argmax())
+            if found[j] > best[c] + 1e-12:
+                best[c], last[c] = found[j], j
+    return best, last
+
+
+def _column(j: int, lengths: list[int], last: list[int], capacity: int) -> dict[int, int]:
+    """The dearest filling that holds piece j, read back from the knapsack."""
+    out, c = {j: 1}, capacity - lengths[j]
+    while c > 0:
+        k = last[c]
+        if k < 0:
+            c -= 1
+        else:
+            out[k] = out.get(k, 0) + 1
+            c -= lengths[k]
     return out
 
 
-def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float) -> list[tuple[dict[int, int], int]]:
-    """Fillings {length: multiple} with whole multiples that hold every piece exactly once.
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Fractional multiples of fillings that hold every length as often as it occurs, and a lower bound.
 
-    A round takes the filling of highest price for `share` of the times that the pieces
-    left allow, rounded down to whole sequences and at least one, and lowers the price of
-    each length by the share of it that is now held. Prices start convex in length, so long
-    pieces, which few others fit, are placed while short ones remain to fill up. With share
-    1 each round uses up a length, so there are at most as many rounds as lengths.
+    Multiplicative weights on the covering program: each round prices all lengths; the knapsack gives the
+    dearest filling for every piece, and those within NEAR of the dearest are taken as columns, least covered pieces
+    first, each by STEP of what its scarcest piece allows; prices fall by exp(-RATE * coverage gained). Total price
+    over the dearest filling's is a lower bound by duality. The multiples are scaled so that all is covered.
     """
-    out: list[tuple[dict[int, int], int]] = []
-    left, weights = counts.astype(np.int64).copy(), (lengths / capacity) ** CONVEX
-    while len(some := np.flatnonzero(left > 0)):
-        if len(some) > PRICED:  # the dearest, and others evenly over all lengths
-            dear = np.argsort(-weights[some], kind="stable")
-            some = some[np.unique(np.concatenate([dear[: PRICED // 2], np.linspace(0, len(some) - 1, PRICED // 2).astype(int)]))]
-        fill = {int(some[i]): m for i, m in knapsack(lengths[some], weights[some], left[some], capacity).items()}
-        times = max(1, int(min(int(left[i]) // m for i, m in fill.items()) * share))
-        out.append(({int(lengths[i]): m for i, m in fill.items()}, times))
-        for i, m in fill.items():
-            left[i] -= m * times
-            weights[i] *= np.exp(-RATE * m * times / counts[i])
-    return out
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Fillings with whole multiples that hold exactly the histogram: the better of two step sizes."""
+    n, names = len(lengths), lengths.tolist()
+    weights, covered = (lengths / capacity) ** 1.1, np.zeros(n)
+    multiples: dict[tuple[tuple[int, int], ...], float] = {}
+    bound, total, kept = float(lengths @ counts) / capacity, 0.0, None
+    for _ in range(ROUNDS):
+        best, last = knapsack(lengths, weights, capacity)
+        top = best[capacity]
+        bound = max(bound, float(weights @ counts) / top)
+        ends, gained = last.tolist(), np.zeros(n)
+        near = weights + best[capacity - lengths] >= (1 - NEAR) * top
+        for j in np.argsort(covered, kind="stable").tolist():
+            if near[j] and gained[j] < STEP:
+                fill = _column(j, names, ends, capacity)
+                times = STEP * min(counts[i] / m for i, m in fill.items())
+                key = tuple(sorted(fill.items()))
+                multiples[key] = multiples.get(key, 0.0) + times
+                total += times
+                for i, m in fill.items():
+                    gained[i] += m * times / counts[i]
+        covered += gained
+        weights *= np.exp(-RATE * gained)
+        weights /= weights.max()
+        least = covered.min()
+        if least > 0:
+            value = total / least
+            if kept is None or value < kept[0]:
+                kept = (value, {k: x / least for k, x in multiples.items()})
+            if value <= (1 + CLOSE) * bound + 1:
+                break
+    return (kept[1] if kept else {}), bound
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """Fillings by best-fit decreasing, whole groups of equal sequences at a time."""
+    room: dict[int, list[list]] = {}  # free tokens: [content, sequences]
+    free: list[int] = []  # ascending
+
+    def put(content: Filling, times: int) -> None:
+        left = capacity - sum(a * m for a, m in content.items())
+        if left not in room:
+            room[left] = []
+            bisect.insort(free, left)
+        room[left].append([content, times])
+
+    for length in sorted(histogram, reverse=True):
+        n = histogram[length]
+        while n:
+            k = bisect.bisect_left(free, length)
+            if k == len(free):
+                m = capacity // length
+                if n >= m:
+                    put({length: m}, n // m)
+                if n % m:
+                    put({length: n % m}, 1)
+                break
+            groups = room[free[k]]
+            content, times = groups.pop()
+            if not groups:
+                del room[free.pop(k)]
+            use = min(n, times)
+            if times > use:
+                put(content, times - use)
+            put(content | {length: content.get(length, 0) + 1}, use)
+            n -= use
+    return [(content, times) for groups in room.values() for content, times in groups]
+
+
+def rounded(multiples: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
+    """Multiples rounded down to whole sequences of pieces that are there; the rest is packed best-fit."""
+    left, out = counts.astype(np.int64).tolist(), []
+    for key, x in sorted(multiples.items(), key=lambda kx: (-kx[1], kx[0])):
+        times = min(int(x), *(left[i] // m for i, m in key))
+        if times:
+            out.append(({int(lengths[i]): m for i, m in key}, times))
+            for i, m in key:
+                left[i] -= m * times
+    return out + best_fit({int(a): n for a, n in zip(lengths, left) if n}, capacity)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Filling, int]], float]:
+    """Fillings with whole multiples that hold exactly the histogram, and a lower bound of the sequences:
+    the rounded program, or best-fit decreasing over all where that needs fewer."""
     full, histogram = histogram.get(capacity, 0), {k: v for k, v in histogram.items() if 0 < k < capacity and v}
-    out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    out: list[tuple[Filling, int]] = [({capacity: 1}, full)] if full else []
     if not histogram:
-        return out
+        return out, float(full)
     lengths = np.array(sorted(histogram))
-    counts = np.array([histogram[a] for a in lengths.tolist()])
-    tried = [multiplicative_weights(lengths, counts, capacity, share) for share in (1.0, 0.5)]
-    return out + min(tried, key=lambda p: sum(n for _, n in p))
+    counts = np.array([histogram[a] for a in lengths.tolist()], float)
+    plain = best_fit(histogram, capacity)
+    multiples, bound = configuration_program(lengths, counts, capacity)
+    ways = [rounded(multiples, lengths, counts, capacity), plain]
+    return out + min(ways, key=lambda p: sum(n for _, n in p)), full + bound
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
+    return solve(histogram, capacity)[0]
 
 
 class Ranges:

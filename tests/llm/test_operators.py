@@ -295,9 +295,38 @@ def test_plan_holds_the_histogram_in_few_sequences():
                 held[a] += m * n
         assert dict(held) == h
         assert sum(n for _, n in p) <= 1.02 * least_bins(h, 1024) + 2
+        assert sum(n for _, n in p) >= packing.solve(h)[1] - 1e-6
+    assert packing.plan({534: 8000, 315: 8000}) == [({315: 1, 534: 1}, 8000)]
     assert packing.plan({}) == [] and packing.plan({1024: 3}) == [({1024: 1}, 3)]
 
 
+def test_configuration_program_covers_and_beats_best_fit():
+    import numpy as np
+
+    h = {600: 5000, 500: 5000, 400: 5000, 300: 7000, 124: 3000, 100: 999}
+    lengths, counts = np.array(sorted(h)), np.array([float(h[a]) for a in sorted(h)])
+    multiples, bound = packing.configuration_program(lengths, counts, 1024)
+    for i in range(len(h)):
+        assert sum(x * dict(fill).get(i, 0) for fill, x in multiples.items()) >= counts[i] * (1 - 1e-9)
+    assert all(sum(m * lengths[i] for i, m in fill) <= 1024 for fill in multiples)
+    assert bound <= sum(multiples.values()) <= 1.01 * bound
+    found = sum(n for _, n in packing.solve(h)[0])
+    assert bound <= found < sum(n for _, n in packing.best_fit(h, 1024)) and found <= 1.003 * bound
+
+
+def test_knapsack_is_dearest():
+    import itertools
+
+    import numpy as np
+
+    lengths, prices = np.array([3, 4, 7]), np.array([2.0, 3.1, 5.0])
+    best, last = packing.knapsack(lengths, prices, 17)
+    ways = [(a, b, c) for a, b, c in itertools.product(range(6), range(5), range(3)) if 3 * a + 4 * b + 7 * c <= 17]
+    assert best[17] == pytest.approx(max(np.dot(w, prices) for w in ways))
+    fill = packing._column(1, lengths.tolist(), last.tolist(), 17)
+    assert sum(lengths[i] * m for i, m in fill.items()) <= 17 and fill[1] >= 1
+
+
 # -- suffix dedup ------------------------------------------------------------
 
 
