@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evidence_queries  # noqa: F401  (registers its queries)
+from .plans import evidence_queries, graph_queries  # noqa: F401  (register their queries)
 from .plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

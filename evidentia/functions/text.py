@@ -1,15 +1,14 @@
-"""Text functions, Column to Column; no Python runs on rows except in nfc, strip_marks and name_ratio."""
+"""Text functions, Column to Column; no Python runs on rows except in name_ratio."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 #: Punctuation stripped from facet values.
 EDGES = " .,:;!?()[]{}\"'"
@@ -18,24 +17,22 @@ EDGES = " .,:;!?()[]{}\"'"
 # These are made at each call: a used one holds a gateway, which cannot be sent to executors with this module.
 
 
-def nfc(c: Column) -> Column:
-    """Unicode form NFC; Spark has no function for it."""
+def _icu(method: str, c: Column) -> Column:
+    """A static method of ICU's Normalizer, which Spark ships with; it stays in the JVM.
+
+    Spark takes such calls for nondeterministic, so they stand in projections, not in aggregates or join conditions.
+    """
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), c, F.lit(False))
 
-    @F.pandas_udf(StringType())
-    def udf(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return udf(c)
+def nfc(c: Column) -> Column:
+    """Unicode form NFC; characters below U+0300 are in it already."""
+    return F.when(c.rlike(r"[^\x00-\x{2FF}]"), _icu("compose", c)).otherwise(c)
 
 
 def strip_marks(c: Column) -> Column:
     """Without combining marks (NFD, category Mn dropped)."""
-
-    @F.pandas_udf(StringType())
-    def udf(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn"))
-
-    return udf(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(_icu("decompose", c), r"\p{Mn}", "")).otherwise(c)
 
 
 def name_ratio(a: Column | str, b: Column | str) -> Column:
@@ -49,7 +46,8 @@ def name_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """NFC, runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(nfc(c), r"(?U)\s+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -58,8 +56,8 @@ def tokens(c: Column) -> Column:
 
 
 def key(c: Column) -> Column:
-    """Match key: lower case, everything but letters and numbers as one space."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    """Match key: NFC, lower case, everything but letters and numbers as one space."""
+    return F.trim(F.regexp_replace(F.lower(nfc(c)), r"[^\p{L}\p{N}]+", " "))
 
 
 def fold_key(c: Column) -> Column:
@@ -72,6 +70,11 @@ def years(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?<!\d)(1[0-9]{3}|20[0-9]{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int")))
 
 
+def years_to_2029(c: Column) -> Column:
+    """Distinct years 1000 to 2029 between word borders, as texts, in order of appearance."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\b(1[0-9]{3}|20[0-2][0-9])\b"), F.lit(1)))
+
+
 def content_tokens(c: Column, least: int = 3) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) >= least)
 
@@ -135,7 +138,27 @@ def quantities(c: Column) -> Column:
     return F.array_distinct(F.filter(clean, lambda v: (v != "") & ~v.rlike(r"^(1[0-9]{3}|20[0-9]{2})$")))
 
 
-def graph_tokens(c: Column, stop: list[str], least: int = 3) -> Column:
+#: Words that tell claims and facts nothing.
+GRAPH_STOP = (
+    "a ai anh bà bài bị bộ bởi các cái cần có còn của cùng đã đang đây để đến đều đi đó được gì hay hơn khi là lại làm lên mà một này năm nên nếu "
+    "người như những ở ra rằng sau sẽ so sự tại theo thì trong trên trước từ và vào về vì với cho chủ yếu nhiều không thành phần"
+).split()
+#: Words that tell names nothing.
+NAME_STOP = "của cho các những một nước quốc gia dân nhân thế giới chiến tranh phong trào cách mạng thời kỳ kì năm lần".split()
+
+
+def name_tokens(c: Column, stop: list[str] = NAME_STOP, least: int = 3) -> Column:
+    """Distinct words of a key without stop words and short words; numbers stay."""
+    return F.array_except(F.filter(F.split(key(c), " "), lambda w: F.length(w) >= least), F.array(*map(F.lit, stop)).cast("array<string>"))
+
+
+def string_list(c: Column, distinct: bool = True) -> Column:
+    """The texts of a list squeezed, blanks dropped; repeats stay if not distinct."""
+    out = F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), squeeze), lambda x: x != "")
+    return F.array_distinct(out) if distinct else out
+
+
+def graph_tokens(c: Column, stop: list[str] = GRAPH_STOP, least: int = 3) -> Column:
     """Distinct words of a key without stop words, short words and numbers."""
     words = F.filter(F.split(key(c), " "), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\p{Nd}+$"))
     return F.array_except(words, F.array(*map(F.lit, stop)).cast("array<string>"))

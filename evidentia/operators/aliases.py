@@ -22,22 +22,34 @@ def ngrams(key: Column, most: int) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
 
 
-def candidates(texts: DataFrame, aliases: DataFrame, longest: int = 8, least: int = 4) -> DataFrame:
+def longest_words(aliases: DataFrame, alias: str = "alias") -> int:
+    """Words of the longest alias: n-grams of a text go no further."""
+    return aliases.agg(F.max(F.size(F.split(alias, " "))).alias("n")).first()["n"] or 1
+
+
+def _letters(c: str) -> Column:
+    return F.length(F.replace(c, F.lit(" ")))
+
+
+def candidates(texts: DataFrame, aliases: DataFrame, longest: int | None = None, least: int = 4) -> DataFrame:
     """(id, key, alias, entity, start, weight): aliases that stand in a text, at their first place.
 
     texts: id, text; aliases: entity, name, weight. An alias of an entity counts once, and
-    only with `least` letters or numbers. start is a place in the key padded by a space at
+    only with `least` letters or numbers. Aliases of up to `longest` words are looked up, of
+    any length if it is not given. start is a place in the key padded by a space at
     either end.
     """
     keyed = texts.select("id", T.key(F.col("text")).alias("key"))
-    names = aliases.select("entity", T.key(F.col("name")).alias("alias"), "weight").where(F.length(F.replace("alias", F.lit(" "))) >= least)
+    names = aliases.select("entity", T.key(F.col("name")).alias("alias"), "weight").where(_letters("alias") >= least)
     names = names.groupBy("entity", "alias").agg(F.max("weight").alias("weight"))
-    found = keyed.select("id", "key", F.explode(ngrams(F.col("key"), longest)).alias("alias")).join(names, "alias")
+    found = keyed.select("id", "key", F.explode(ngrams(F.col("key"), longest or longest_words(names))).alias("alias")).join(names, "alias")
     return found.withColumn("start", F.instr(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" "))))
 
 
-def greedy(found: DataFrame, most: int = 10) -> DataFrame:
-    """(id, alias, entity, start): longest aliases first, no overlap of padded spans, one match an entity.
+def greedy(found: DataFrame, most: int = 10, once: str = "entity") -> DataFrame:
+    """(id, alias, entity, start): longest aliases first, no overlap of padded spans, at most `most` a text.
+
+    once is entity for one match an entity, or alias for one match of each alias of an entity.
 
     Acceptance depends on what is accepted before, so a text's candidates are folded in
     order. They are at most its n-grams' aliases.
@@ -50,7 +62,8 @@ def greedy(found: DataFrame, most: int = 10) -> DataFrame:
     def step(done: Column, x: Column) -> Column:
         stop = x["start"] + F.length(x["alias"]) + 2
         one = F.struct(x["alias"].alias("alias"), x["entity"].cast("bigint").alias("entity"), x["start"].cast("int").alias("start"), stop.cast("int").alias("stop"))
-        taken = F.exists(done, lambda d: (d["entity"] == x["entity"]) | ((d["start"] < stop) & (x["start"] < d["stop"])))
+        same = lambda d: (d["entity"] == x["entity"]) & (F.lit(once == "entity") | (d["alias"] == x["alias"]))
+        taken = F.exists(done, lambda d: same(d) | ((d["start"] < stop) & (x["start"] < d["stop"])))
         return F.when(taken | (F.size(done) >= most), done).otherwise(F.concat(done, F.array(one)))
 
     spans = sorted_.select("id", F.explode(F.aggregate("c", empty, step)).alias("s"))
@@ -58,10 +71,10 @@ def greedy(found: DataFrame, most: int = 10) -> DataFrame:
 
 
 def within_longer(facets: DataFrame, aliases: DataFrame, least: int = 6) -> DataFrame:
-    """(id, entity, alias): a facet that is a proper word phrase of a longer alias."""
-    keyed = facets.select("id", T.key(F.col("text")).alias("key")).where(F.length("key") >= least)
+    """(id, entity, alias): a facet of `least` letters or numbers that is a proper word phrase of a longer alias."""
+    keyed = facets.select("id", T.key(F.col("text")).alias("key")).where(_letters("key") >= least)
     names = aliases.select("entity", T.key(F.col("name")).alias("alias")).distinct()
-    parts = names.select("entity", "alias", F.explode(ngrams(F.col("alias"), 8)).alias("key")).where("key <> alias")
+    parts = names.select("entity", "alias", F.explode(ngrams(F.col("alias"), longest_words(keyed, "key"))).alias("key")).where("key <> alias")
     return keyed.join(parts, "key").select("id", "entity", "alias").distinct()
 
 
@@ -79,6 +92,16 @@ def representatives(mentions: DataFrame) -> DataFrame:
     )
 
 
+def alias_rows(names: DataFrame, least: int = 4) -> DataFrame:
+    """(alias, entity, name, weight): of each alias key and entity the longest surface, the earliest of equals.
+
+    names: ord, entity, name, weight; blank names and keys under `least` letters or numbers go.
+    """
+    rows = names.select("ord", F.trim("entity").alias("entity"), T.facet_value(F.col("name")).alias("name"), "weight").withColumn("alias", T.key(F.col("name")))
+    rows = rows.where((F.col("name") != "") & (F.col("entity") != "") & (_letters("alias") >= least))
+    return rows.groupBy("alias", "entity").agg(F.max_by(F.struct("name", "weight"), F.struct(F.length("name"), -F.col("ord"))).alias("b")).select("alias", "entity", "b.name", "b.weight")
+
+
 def split_text(text: Column, most: int, overlap: int) -> Column:
     """Pieces of at most `most` characters, cut after the last sentence end beyond half, overlapping."""
 

@@ -94,7 +94,7 @@ def groups(reps: DataFrame, write: Callable[[DataFrame], DataFrame], seeds: list
         listed = [(f"{i:03d}", s) for i, names in enumerate(seeds, 1) for s in names]
         keyed = reps.sparkSession.createDataFrame(listed, "name string, seed string").select("name", T.fold_key(F.col("seed")).alias("fold")).where("fold <> ''").distinct()
         rows = rows.unionByName(base.join(F.broadcast(keyed), "fold").select(F.lit("seed").alias("kind"), "name", "entity"))  # a list in the settings
-    words = F.filter(F.array_distinct(F.split("key", " ")), lambda w: F.length(w) >= 3)
+    words = F.array_distinct(T.name_tokens(F.col("key")))
     two = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
     tok = base.select("entity", "fold", "family", F.explode(F.transform(two, lambda x: x["w"])).alias("t"))
     small = tok.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, block))
@@ -127,6 +127,39 @@ def state_windows(reps: DataFrame, write: Callable[[DataFrame], DataFrame], samp
     return near.groupBy("entity").agg(F.array_sort(F.collect_list("member")).alias("members")).where(F.size("members") >= 2)
 
 
+def alignment_prompt(members: Column) -> Column:
+    """The question which candidates are one entity; members: array of structs with entity, type, name, aliases, samples."""
+    head = (
+        "Decide which of these candidates name the same entity. Answer with one JSON object: aligned_entities (canonical_name, canonical_type, observed_types, aliases, "
+        f"member_entity_ids, confidence, review_required, reason) and unmerged_entities (entity_id, reason). Types: {', '.join(ENTITY_PRIORITY)}. Merge only what is surely one.\n\nCandidates:\n"
+    )
+    return F.concat(F.lit(head), F.to_json(members))
+
+
+_DECISION = (
+    "aligned_entities array<struct<canonical_name:string, canonical_type:string, observed_types:array<string>, aliases:array<string>, member_entity_ids:array<string>, "
+    "confidence:string, review_required:boolean, reason:string>>, unmerged_entities array<struct<entity_id:string, reason:string>>"
+)
+
+
+def decisions(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merges, unmerged) out of a model's answers on groups; answers: group, members, answer.
+
+    A merge keeps its members of the group, sorted and once each, and needs two, a name and a known type.
+    """
+    known = lambda x: x.isin(list(ENTITY_PRIORITY))
+    read = answers.select("group", "members", F.from_json(T.json_object(F.col("answer")), _DECISION).alias("a"))
+    rows = read.select("group", "members", F.posexplode("a.aligned_entities").alias("pos", "x")).select("group", "pos", "members", "x.*")
+    text = lambda c: T.squeeze(F.coalesce(F.col(c), F.lit("")))
+    merges = rows.select(
+        "group", "pos", F.array_sort(F.array_intersect("member_entity_ids", "members")).alias("members"), text("canonical_name").alias("canonical_name"), text("canonical_type").alias("canonical_type"),
+        F.array_sort(F.filter(T.string_list(F.col("observed_types")), known)).alias("observed_types"), F.array_sort(T.string_list(F.col("aliases"))).alias("aliases"),
+        T.confidence(F.col("confidence")).alias("confidence"), F.coalesce("review_required", F.lit(False)).alias("review_required"), text("reason").alias("reason"),
+    ).where((F.size("members") >= 2) & (F.col("canonical_name") != "") & known(F.col("canonical_type")))
+    left = read.select("group", "members", F.explode("a.unmerged_entities").alias("x")).where(F.expr("array_contains(members, x.entity_id)"))
+    return merges, left.select("group", "x.entity_id", T.squeeze(F.coalesce("x.reason", F.lit(""))).alias("reason"))
+
+
 def apply_merges(reps: DataFrame, merges: DataFrame, write: Callable[[DataFrame], DataFrame], least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(entities, map): reviewed merges applied; map is (entity, root), root the smallest entity of a class.
 

@@ -93,7 +93,7 @@ def match_summary(facets: DataFrame, matches: DataFrame) -> DataFrame:
     """(id, total_facets, matched_facets, match_rate): values counted as they come, matched ones by distinct key."""
     hit = matches.select("id", "facet", "value").distinct().withColumn("hit", F.lit(True))
     rows = facets.select("id", "facet", "value").join(hit, ["id", "facet", "value"], "left")
-    out = rows.groupBy("id").agg(F.count(F.lit(1)).alias("total_facets"), F.countDistinct(F.when(F.col("hit"), F.struct("facet", T.key(F.col("value"))))).alias("matched_facets"))
+    out = rows.withColumn("value_key", T.key(F.col("value"))).groupBy("id").agg(F.count(F.lit(1)).alias("total_facets"), F.countDistinct(F.when(F.col("hit"), F.struct("facet", "value_key"))).alias("matched_facets"))
     return out.withColumn("match_rate", F.round(F.col("matched_facets") / F.col("total_facets"), 6))
 
 
@@ -154,7 +154,7 @@ def evidence(hits: DataFrame, chunks: DataFrame | None = None, most: int = 12) -
     """
     if chunks is not None:
         hits = hits.join(chunks.select("chunk"), "chunk", "left_semi")
-    one = hits.groupBy("id", "chunk").agg(F.countDistinct("facet", T.key(F.col("value"))).alias("n_facets"), F.countDistinct("edge").alias("n_relations"))
+    one = hits.withColumn("value_key", T.key(F.col("value"))).groupBy("id", "chunk").agg(F.countDistinct("facet", "value_key").alias("n_facets"), F.countDistinct("edge").alias("n_relations"))
     one = one.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("id")))
     return top(one, "id", F.desc("n_facets"), F.desc("n_relations"), "chunk", k=most)
 

@@ -119,8 +119,8 @@ def evidence_context(evidence: DataFrame, most: int = 8, chars: int = 1400, show
     if show_years:
         lines.append(F.concat(F.lit("years="), F.to_json(years)))
     block = F.concat_ws("\n", *lines, T.smart_crop(F.col("text"), F.col("claim"), chars))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
-    return rows.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("context"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "b")))
+    return rows.select("id", "rank", block.alias("b")).groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("context"))
 
 
 def verify_prompt(claim: Column, context: Column) -> Column:
@@ -130,6 +130,35 @@ def verify_prompt(claim: Column, context: Column) -> Column:
     )
 
 
+def claim_only_prompt(claim: Column) -> Column:
+    """The question without evidence, for a model's own knowledge."""
+    return F.concat(F.lit("Decide from what you know whether the claim is real or fake.\nAnswer with one JSON object: label (real or fake), confidence (0 to 1), reasoning.\n\nClaim: "), claim)
+
+
+def passages_prompt(claim: Column, passages: Column) -> Column:
+    """The baseline's question: numbered passages as they are; passages: array of texts."""
+    told = F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n")
+    return F.concat(F.lit("Passages:\n"), told, F.lit("\n\nClaim: "), claim, F.lit("\n\nDo the passages make the claim real or fake? Answer with one JSON object: label, confidence, evidence_ids."))
+
+
+def _verdicts(rows: DataFrame, factory: Callable[[], ModelClient], batch: int) -> DataFrame:
+    out = complete(rows, "prompt", factory, batch).withColumn("v", T.verdict(F.col("answer")))
+    error = F.coalesce("error", F.when(F.col("v").isNull(), F.lit("unreadable answer")))
+    return out.select("id", F.when(error.isNull(), F.col("v.label")).otherwise("error").alias("label"), F.coalesce("v.confidence", F.lit(0.0)).alias("confidence"), error.alias("error"))
+
+
+def verify_claim_only(claims: DataFrame, factory: Callable[[], ModelClient], batch: int = 10) -> DataFrame:
+    """(id, label, confidence, error) from claims (id, claim) alone."""
+    return _verdicts(claims.select("id", claim_only_prompt(F.col("claim")).alias("prompt")), factory, batch)
+
+
+def verify_baseline(claims: DataFrame, passages: DataFrame, factory: Callable[[], ModelClient], most: int = 5, batch: int = 1) -> DataFrame:
+    """(id, label, confidence, error) from the best `most` passages (id, rank, text) of each claim, a claim a call."""
+    best = passages.where(F.col("rank") <= most).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("p"))
+    rows = claims.join(best, "id", "left").select("id", passages_prompt(F.col("claim"), F.coalesce("p", F.array().cast("array<string>"))).alias("prompt"))
+    return _verdicts(rows, factory, batch)
+
+
 def facet_prompt(claim: Column) -> Column:
     return F.concat(F.lit("List the facets of the claim as one JSON object of string lists, with the keys person, organization, event, place, time, concept, quantity, action, result.\n\nClaim: "), claim)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,8 +43,29 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def report(counts: DataFrame, title: str, rows: int = 200) -> str:
-    """A Markdown table of a small aggregate: its first rows."""
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, **metadata: str) -> None:
+    """A graph as three tables below path: metadata (one row with the counts), nodes and edges."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    spark = nodes.sparkSession
+    counts = spark.read.parquet(f"{path}/nodes").agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(spark.read.parquet(f"{path}/edges").agg(F.count(F.lit(1)).alias("n_edges")))  # one row each
+    counts.select("*", *[F.lit(v).alias(k) for k, v in metadata.items()]).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("metadata", "nodes", "edges")}
+
+
+def save_json(value: object, path: str) -> None:
+    """A small JSON document on the driver's disk, indented, letters as they are, ending in a newline; replaced whole."""
+    target = Path(path)
+    part = target.with_name(target.name + ".tmp")
+    part.write_text(json.dumps(value, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    part.replace(target)
+
+
+def report(counts: DataFrame, title: str) -> str:
+    """A Markdown table of a small aggregate."""
     cols = counts.columns
     lines = [f"# {title}", "", "| " + " | ".join(cols) + " |", "|" + "---|" * len(cols)]
-    return "\n".join(lines + ["| " + " | ".join(str(v) for v in r) + " |" for r in counts.limit(rows).collect()]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(str(v) for v in r) + " |" for r in counts.toLocalIterator()]) + "\n"
