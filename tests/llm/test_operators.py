@@ -143,10 +143,21 @@ def test_secret_scan(docs, none):
 def test_field_finds_new_secrets_and_equals_whole_viterbi():
     field = secret_scan.train()
     r = random.Random(3)
-    key = "".join(r.choice("ABCDEFGHabcdefgh0123456789") for _ in range(36))
-    text = prose(r, 60) + f' auth = "{key}" ' + prose(r, 60)
-    assert [text[a:b] for a, b in secret_scan.field_spans(text, field)] == [key]
-    for t in [text, *[x or "" for x in TEXT.values() if len(x or "") < 5000]]:
+    draw = lambda abc, n: "".join(r.choice(abc) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    found = wrong = 0
+    texts = [x or "" for x in TEXT.values() if len(x or "") < 5000]
+    for k in range(90):
+        key = [draw(letters + "0123456789", 36), draw(letters, 26), draw(letters + "0123456789", 12)][k % 3]
+        text = prose(r, 60) + [f' auth = "{key}" ', f" connect with auth_token = {key} now ", f" 'credential': '{key}', "][k // 3 % 3] + prose(r, 60)
+        texts.append(text)
+        got = [text[a:b] for a, b in secret_scan.field_spans(text, field)]
+        found, wrong = found + (key in got), wrong + len([x for x in got if x != key])
+    assert found >= 80 and wrong <= 3
+    plain = [prose(r, 200), "let innerHtmlValue = anotherFunctionName(someOtherThing); MAX_BUFFER_SIZE " * 3, "see https://www.example.com/some-long-path/page-2.html and mail first.last@example.com"]
+    assert sum(len(secret_scan.field_spans(t, field)) for t in plain) == 0
+    texts.append("ab12cd34ef56 " * 40 + "x" * 3000 + " password: abcdefgh " + "-" * 500 + " k3yk3yk3y")
+    for t in texts + plain:
         assert secret_scan.field_spans(t, field) == secret_scan.field_spans(t, field, whole=True)
 
 
