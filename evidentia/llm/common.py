@@ -18,10 +18,12 @@ ARROW_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    It is set to a temporary folder only where the session leaves it unset.
+    It is set to a temporary folder only in local mode, where the session leaves it unset.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -46,11 +48,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
+    """Cut the lineage: write df to the shared folder, in a folder for each value of `by` if given, and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -35,6 +35,8 @@ MAX_TRAIN = 6000
 #: At most so many entries; the lexicon is sent to every task.
 MAX_ENTRIES = 3000
 FOLDS = 5
+#: Log-odds that an entry has at least.
+LEAST_WEIGHT = 3.0
 PREFIXES = (3, 4, 5, 6, 7)
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -151,7 +153,7 @@ def weigh(counts: Counts, n: list[int], halves: tuple[int, ...]) -> dict[str, fl
     for f, c in counts.items():
         g, k = (sum(c[2 * h + y] for h in halves) for y in (0, 1))
         w = math.log((k + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1))
-        if k >= least and w > 3.0:
+        if k >= least and w > LEAST_WEIGHT:
             out.append((-k * w, f, w))
     return {f: w for _, f, w in sorted(out)[:MAX_ENTRIES]}
 
@@ -200,25 +202,27 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Lex
     rows = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id"), "train")
     names = "feature string, c0 long, c1 long, c2 long, c3 long"
 
-    def counted(work, least: int) -> Counts:
+    def counted(work) -> DataFrame:
         got = _over(rows, lambda x: [(f, *c) for f, c in work(x).items()], names).groupBy("feature")
-        got = got.agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")])
-        got = got.where(F.greatest(F.col("c0") + F.col("c2"), F.col("c1") + F.col("c3")) >= least)
-        heavy = (F.col("c1") + F.col("c3") + 0.5) / (F.col("c0") + F.col("c2") + 0.5)
-        got = got.orderBy(F.desc(heavy * (F.col("c1") + F.col("c3"))), "feature").limit(4 * MAX_ENTRIES)
-        return {r[0]: list(r[1:]) for r in got.collect()}
+        return got.agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")])
+
+    clean, toxic = F.col("c0") + F.col("c2"), F.col("c1") + F.col("c3")
 
     n = [0, 0, 0, 0]
     for r in _over(rows, lambda x: [(2 * _half(i) + y,) for i, _, y in x], "k long").groupBy("k").count().collect():
         n[r[0]] = r[1]
     if not (n[0] + n[2] and n[1] + n[3]):
         return None
-    counts = counted(count_features, 3)
+    # only entries that can weigh LEAST_WEIGHT in both halves or one come to the driver
+    good, bad = n[0] + n[2], n[1] + n[3]
+    odds = F.log((toxic + 0.5) / (bad + 1)) - F.log((clean + 0.5) / (good + 1))
+    counts = {r[0]: list(r[1:]) for r in counted(count_features).where((toxic >= 2) & (odds > LEAST_WEIGHT - 2.0)).collect()}
     whole = weigh(counts, n, (0, 1))
     halves = [weigh(counts, n, (1,)), weigh(counts, n, (0,))]  # for half 0 and half 1
     heavy = {w for w in whole if w.endswith(" ")}
-    pairs = counted(lambda x: count_pairs(x, heavy), 3) if heavy else {}
-    exceptions = {p for p, c in pairs.items() if c[0] + c[2] >= 3 and c[1] + c[3] == 0}
+    # every exception is kept: pairs said by three clean rows at least and by no toxic one, of at most max_train rows
+    calm = counted(lambda x: count_pairs(x, heavy)).where((clean >= 3) & (toxic == 0)).select("feature").collect() if heavy else []
+    exceptions = {r[0] for r in calm}
     lexica = [Lexicon(w, exceptions, (0.0, 0.0, 0.0)) for w in halves]
     points = _over(rows, lambda x: [(*lexica[_half(i)].point(t), y) for i, t, y in x], "x double, y double, toxic long")
     return Lexicon(whole, exceptions, fit_curve([tuple(r) for r in points.collect()]))

@@ -83,11 +83,31 @@ def test_exact_dedup_hot_group(spark):
     assert got.where("kept").count() == 2001 and got.where("keep_id = 0 AND group_size = 1000").count() == 1000
 
 
-def test_bytes_decide_under_one_digest(spark):
-    docs = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, text string")
-    digest = hashlib.sha256(b"x").hexdigest()
-    hits = spark.createDataFrame([(digest, 1, 1, 3), (digest, 2, 1, 3)], "digest string, doc_id long, keep_id long, n long")
-    assert exact_dedup._verified(docs, hits).count() == 0
+def test_exact_dedup_without_ids(spark):
+    rows = [(1, "a b"), (None, "a\tb"), (None, "z"), (None, "z "), (None, "z"), (2, None), (2, None)]
+    got = sorted((tuple(r)[:4] for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    want = [(1, 1, 2, True), (None, 1, 2, False), (None, None, 1, True), (None, None, 2, True), (None, None, 2, False), (2, 2, 2, True), (2, 2, 2, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_bytes_decide_under_one_digest(spark, monkeypatch):
+    real = F.sha2
+    monkeypatch.setattr(F, "sha2", lambda c, n: F.substring(real(c, n), 1, 1))  # a digest of 16 values
+    rows = [(k, f"text {k % 40}") for k in range(120)]
+    got = {r.doc_id: tuple(r)[:4] for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (k, k % 40, 3, k < 40) for k in range(120)}
+
+
+def test_merge_index_levels(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FANOUT", 2)
+    docs = spark.range(40).select("id", (F.col("id") % 10).cast("string").alias("text")).withColumnRenamed("id", "doc_id").withColumn("unnamed", F.lit(False)).repartition(8)
+    index = exact_dedup.MergeIndex(spark)
+    index.flush(docs)
+    index.flush(docs.withColumn("doc_id", F.col("doc_id") + 100))
+    assert len(index.levels[0]) == 2 * exact_dedup.RUNS
+    top = index.compact()
+    assert sorted((r.doc_id, r.n) for r in top.collect()) == [(k, 8) for k in range(10)]
+    assert [r.doc_id for r in index.find([hashlib.sha256(b"3").hexdigest()]).collect()] == [3]
 
 
 # -- licences ----------------------------------------------------------------
@@ -243,6 +263,41 @@ def test_toxicity(spark, none):
     assert {x.score for x in toxicity.score_documents(docs, None).collect()} == {0.0}
 
 
+def test_learned_exceptions_act(spark):
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 4 == 0
+        text = prose(r, 40) + (" you grumbleskank " if bad else " the pond grumbleskank " if i % 25 == 1 else " ") + prose(r, 10)
+        rows.append((i, text))
+        labels.append((i, int(bad)))
+    docs, tags = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, tags)
+    assert "pond grumbleskank" in lexicon.exceptions
+    assert lexicon.score("by the pond grumbleskank stood") < 0.5 < lexicon.score("a word, you grumbleskank here")
+
+
+def naive_total(lexicon, text):
+    words, best = toxicity._WORD.findall(toxicity.fold(text or "")), 0.0
+    for k, w in enumerate(words):
+        weights = [x for f, x in lexicon.weights.items() if (f" {w} " == f if f.endswith(" ") else f" {w}".startswith(f))]
+        around = [" ".join(words[max(0, k - 1) : k + 1]), " ".join(words[k : k + 2])]
+        if weights and not any(p in lexicon.exceptions for p in around):
+            best += max(weights)
+    return best
+
+
+def test_lexicon_equals_naive_matching(spark):
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " ba": 1.0, " scum ": 3.0, " scu": 0.5}, {"pond scum"}, (1.0, 1.0, -3.0))
+    r = random.Random(4)
+    for _ in range(200):
+        text = " ".join(r.choice(["bad", "b4d", "badly", "scum", "pond", "scumbag", "ok", "ba", "", "\n"]) for _ in range(12))
+        assert lexicon.total(text)[0] == pytest.approx(naive_total(lexicon, text))
+    rows = [(1, "bad", "x", 1), (1, "bad", "x", 1), (None, "word " * 400_000 + "bad", None, 2)]
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int"), lexicon).collect()
+    assert len(got) == 3 and got[0].score == got[1].score and {x.held_out for x in got if x.doc_id is None} == {False}
+
+
 def test_exception_phrase_silences_a_hit():
     lexicon = toxicity.Lexicon({" scum ": 9.0}, {"pond scum"}, (1.0, 1.0, -3.0))
     assert lexicon.total("you scum")[0] == 9.0 and lexicon.total("green pond scum floats")[0] == 0.0
