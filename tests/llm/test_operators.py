@@ -131,8 +131,46 @@ def test_licence_scan(docs, none):
 
 
 def test_own_licence_labels(spark):
-    df = spark.createDataFrame([(1, "the GNU General Public License, version 3."), (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (3, "gnu version 3 public general license")], "doc_id long, text string")
-    assert {r.doc_id: r.labels for r in licence_scan.licence_scan(df).collect()} == {1: "gpl-3", 2: "mit", 3: ""}
+    texts = {
+        1: "the GNU General Public License, version 3.",
+        2: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge",
+        3: "gnu version 3 public general license",
+        4: "Permission is hereby granted, free of charge, to nobody at all.",
+        5: "under the MIT license. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following terms are met",
+    }
+    rows = {r.doc_id: r for r in licence_scan.licence_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {k: r.labels for k, r in rows.items()} == {1: "gpl-3", 2: "mit", 3: "", 4: "", 5: "bsd,mit"}
+    assert rows[1].score == 1.0 and rows[2].score == pytest.approx(1.0, abs=1e-4) and rows[3].score == rows[4].score == 0.0 and rows[5].score == 1.0
+
+
+def test_licence_labels_equal_brute_force(spark):
+    r = random.Random(14)
+    templates = licence_scan._templates()
+    vocab = sorted({w for t in templates for w in t["key"] + t["rest"]})
+    texts = []
+    for k in range(60):
+        words = [r.choice(vocab) for _ in range(30)]
+        for t in r.sample(templates, 2):
+            body = [w if r.random() > 0.2 or j < len(t["key"]) else "x" for j, w in enumerate(t["key"] + t["rest"])]
+            at = r.randrange(len(words))
+            words[at:at] = body
+        texts.append((k, " ".join(words)))
+    rows = {x.doc_id: x for x in licence_scan.licence_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    df = {w: sum(w in t.split() for _, t in texts) for w in vocab}
+    import math
+
+    idf = {w: math.log(1 + (len(texts) + 1) / (df[w] + 1)) for w in vocab}
+    for k, text in texts:
+        w, found, best = text.split(), set(), 0.0
+        for t in templates:
+            body = t["key"] + t["rest"]
+            for s in range(len(w) - len(t["key"]) + 1):
+                if w[s : s + len(t["key"])] == t["key"]:
+                    share = sum(idf[x] for x, y in zip(body, w[s:]) if x == y) / sum(idf[x] for x in body)
+                    if share >= licence_scan.LEAST:
+                        found.add(t["label"])
+                        best = max(best, share)
+        assert rows[k].labels == ",".join(sorted(found)) and rows[k].score == pytest.approx(best, abs=1e-5)
 
 
 # -- secrets -----------------------------------------------------------------
