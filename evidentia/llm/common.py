@@ -100,6 +100,10 @@ class Sent:
             self._own.append(cloudpickle.loads(self._sent.value))
         return self._own[0]
 
+    def close(self) -> None:
+        """Free it on driver and executors; no job may read it again."""
+        self._sent.destroy()
+
 
 def named(docs: DataFrame) -> DataFrame:
     """doc_id (long), text, unnamed: rows without doc_id are numbered down from the greatest long, and written, so

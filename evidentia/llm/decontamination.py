@@ -1,27 +1,31 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Indexing: each task cuts its documents into segments of bounded size and writes one
-row a segment to the shared folder: the documents, and for every term of the tests the
-ascending positions where it stands (positions run through the segment, with a gap
-after each document, so no match crosses documents). Terms that no test holds have no
-postings.
-
-Searching: in each segment, a window starts from its rarest term's list and intersects
-the offset-adjusted lists of its other terms, from rare to frequent, until it is empty
-or exact. Proximity search intersects the same lists within a slack.
-
-The tests are sent to the tasks in blocks of at most BLOCK_WORDS words; each block
-passes over the stored index once more, so any number of items is searched whole.
+Indexing: each task cuts its documents into segments of bounded size and writes one row
+a segment to the shared folder: the documents, and for every term of theirs, as a 64-bit
+hash, the ascending positions where it stands (positions run through the segment, with a
+gap after each document, so no match crosses documents). The index knows nothing of the
+tests: it is built once and searched for any of them.
+
+Searching: in each segment, windows of which some term has no postings are put aside by
+one look-up of the tests' terms. Each other window starts from its rarest term's list and
+is intersected with the offset-adjusted lists of its other terms, from rare to frequent;
+all windows take these steps together, as arrays, CANDIDATES positions at a time.
+Proximity search intersects the same lists within a slack.
+
+The tests are read and sent in blocks of at most BLOCK_WORDS words, one block at a time;
+longer items are cut into overlapping pieces. Each block passes over the stored index
+once more, so driver and tasks hold one block however many items there are. Two words of
+one hash would count as equal: for ten million of the tests' words against ten thousand
+million of the documents' the odds are under 1 %, and a window needs all its terms.
 
 Defined cases: null and empty texts have no words: 0, 0, 0, the digest of the empty
 string, false. An item without words has no window. Repeated document rows are separate
-rows alike; items that repeat an item_id count once. Other columns are ignored.
+rows alike; rows without doc_id stay. Items that repeat an item_id count once; items
+without one count as one item named "null". Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,204 +38,292 @@ from .common import Sent, materialise, small_batches, table
 WINDOW = 10
 #: Words of a segment's documents, at which the segment is closed.
 SEGMENT_WORDS = 600_000
-#: Words of the test items in one broadcast block (about 40 bytes a word in a task).
+#: Words of the tests in one block (about 100 bytes a word in a task).
 BLOCK_WORDS = 500_000
+#: Positions that are intersected at a time, or one window's rarest list if that is longer.
+CANDIDATES = 1_000_000
+#: Distinct words whose hashes a task remembers.
+REMEMBERED = 300_000
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# A-Z to a-z, other ASCII but digits and a-z to a space
+_PLAIN = str.maketrans({chr(c): chr(c).lower() if chr(c).isalnum() else " " for c in range(128)})
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(_LOWER)) if text else []
-
-
-class Tests:
-    """The windows of a block of items as rows of term ids; equal windows share a row."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        self.window, self.terms, self.items = window, {}, []
-        rows: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            w = [self.terms.setdefault(x, len(self.terms)) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                rows.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.rows, self.items = list(rows), [sorted(x) for x in rows.values()]
-
-
-SCHEMA = "ids binary, starts binary, lengths binary, terms binary, offsets binary, postings binary"
-
-
-def _segment(ids: list[int | None], lengths: list[int], starts: list[int], found: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A row of the index: term ids in found stand at positions at."""
-    order = np.argsort(found, kind="stable")
-    found, at = found[order], at[order]
-    terms, first = np.unique(found, return_index=True)
-    null = np.iinfo(np.int64).min
-    parts = (
-        (np.array([null if i is None else i for i in ids], np.int64)),
-        np.array(starts, np.uint32),
-        np.array(lengths, np.uint32),
-        terms.astype(np.uint32),
-        np.append(first, len(found)).astype(np.uint32),
-        at.astype(np.uint32),
-    )
-    return [p.tobytes() for p in parts]
-
-
-def build_index(docs: DataFrame, tests: DataFrame, segment_words: int = SEGMENT_WORDS, window: int = WINDOW) -> tuple[DataFrame, list[Tests]]:
-    """The stored index over all docs, and the blocks of tests."""
+    return [w for w in text.translate(_PLAIN).split(" ") if w] if text else []
+
+
+class Hasher:
+    """64-bit hashes of words; the latest words are remembered."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        import xxhash
+
+        seen = self.seen
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        for w in set(words).difference(seen):
+            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+
+
+# -- tests -------------------------------------------------------------------
+
+
+class Block:
+    """The windows of some items: rows of places in the sorted terms, -1 after the last; equal windows share a row."""
+
+    def __init__(self, pieces: list[tuple[str, np.ndarray]], window: int = WINDOW):
+        self.window = window
+        self.terms = np.unique(np.concatenate([h for _, h in pieces] or [np.zeros(0, np.uint64)]))
+        names: dict[str, int] = {}
+        rows, owner = [np.zeros((0, window), np.int32)], []
+        for item, h in pieces:
+            at = np.searchsorted(self.terms, h).astype(np.int32)
+            if len(at) >= window:
+                new = np.lib.stride_tricks.sliding_window_view(at, window)
+            elif len(at):
+                new = np.append(at, np.full(window - len(at), -1, np.int32))[None, :]
+            else:
+                continue
+            rows.append(new)
+            owner.append(np.full(len(new), names.setdefault(item, len(names)), np.int64))
+        self.rows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.rows >= 0).sum(1)
+        self.names = np.array(list(names), object)
+        # items of a window: owners[offsets[w] : offsets[w + 1]]
+        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate([np.zeros(0, np.int64), *owner])]), axis=1)
+        self.owners, self.offsets = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.rows) + 1))
+
+
+def blocks_of(tests: DataFrame, window: int = WINDOW) -> Iterator[Block]:
+    """All items in blocks of at most BLOCK_WORDS words; at least one block."""
+    hasher, pieces, words, any_yet = Hasher(), [], 0, False
+    step = max(1, BLOCK_WORDS - window + 1)
+    rows = tests.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").dropDuplicates()
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        h = hasher(words_of(r["text"]))
+        for a in range(0, max(1, len(h) - window + 1), step):
+            piece = h[a : a + step + window - 1]
+            if pieces and words + len(piece) > BLOCK_WORDS:
+                yield Block(pieces, window)
+                pieces, words, any_yet = [], 0, True
+            pieces.append((r["item_id"], piece))
+            words += len(piece)
+    if pieces or not any_yet:
+        yield Block(pieces, window)
+
+
+# -- index -------------------------------------------------------------------
+
+SCHEMA = "segment long, ids binary, starts binary, lengths binary, terms binary, offsets binary, postings binary"
+_NULL = np.iinfo(np.int64).min
+
+
+def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS, window: int = WINDOW) -> DataFrame:
+    """The stored index over all docs, for windows of up to `window` words."""
     small_batches(docs.sparkSession)
-    blocks, items, words = [], [], 0
-    for r in tests.select("item_id", "text").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
-        n = len(words_of(r["text"]))
-        if items and words + n > BLOCK_WORDS:
-            blocks.append(Tests(items, window))
-            items, words = [], 0
-        items.append((r["item_id"], r["text"]))
-        words += n
-    blocks.append(Tests(items, window))
-    vocab: dict[str, int] = {}
-    for b in blocks:  # one numbering for all blocks, so the index is built once
-        for w in b.terms:
-            vocab.setdefault(w, len(vocab))
-        to = {i: vocab[w] for w, i in b.terms.items()}
-        b.rows = [tuple(to[i] for i in r) for r in b.rows]
-        b.terms = {}
-    shared = Sent(docs.sparkSession, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, gap = shared.value, window
-        ids, lengths, starts, found, at, pos, n = [], [], [], [], [], 0, 0
+        from pyspark import TaskContext
+
+        hasher, segment = Hasher(), TaskContext.get().partitionId() << 32
+        ids, lengths, found, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            none = np.zeros(0, np.int64)
-            row = _segment(ids, lengths, starts, np.concatenate(found or [none]), np.concatenate(at or [none]))
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            size = np.array(lengths, np.int64)
+            starts = np.cumsum(size + window) - (size + window)
+            h = np.concatenate(found)
+            order = np.argsort(h, kind="stable")
+            terms, first = np.unique(h[order], return_index=True)
+            at = (np.arange(len(h)) + np.repeat(np.arange(len(size)) * window, size))[order]
+            parts = (
+                np.array([_NULL if i is None else i for i in ids], np.int64),
+                starts.astype(np.uint32),
+                size.astype(np.uint32),
+                terms,
+                np.append(first, len(h)).astype(np.uint32),
+                np.diff(at, prepend=0).astype(np.uint32),  # steps between positions, wrapping at the next term
+            )
+            arrays = [pa.array([segment], pa.int64()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]]
+            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = words_of(t.as_py())
-                t_ids = np.fromiter((vocab.get(x, -1) for x in w), np.int64, len(w))
-                here = np.flatnonzero(t_ids >= 0)
+                h = hasher(words_of(t.as_py()))
                 ids.append(i)
-                lengths.append(len(w))
-                starts.append(pos)
-                found.append(t_ids[here].astype(np.int32))
-                at.append((here + pos).astype(np.uint32))
-                pos += len(w) + gap
-                n += len(w)
+                lengths.append(len(h))
+                found.append(h)
+                n += len(h) + window
                 if n >= segment_words:
                     yield close()
-                    ids, lengths, starts, found, at, pos, n = [], [], [], [], [], 0, 0
+                    ids, lengths, found, n, segment = [], [], [], 0, segment + 1
         if ids:
             yield close()
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA), "postings"), blocks
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA), "postings")
 
 
 class Segment:
-    def __init__(self, ids: bytes, starts: bytes, lengths: bytes, terms: bytes, offsets: bytes, postings: bytes):
-        self.ids, self.starts = np.frombuffer(ids, np.int64), np.frombuffer(starts, np.uint32).astype(np.int64)
-        self.lengths, self.terms = np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(terms, np.uint32)
-        self.offsets, self.postings = np.frombuffer(offsets, np.uint32).astype(np.int64), np.frombuffer(postings, np.uint32).astype(np.int64)
-        self.place = {t: i for i, t in enumerate(self.terms.tolist())}
-
-    def list(self, term: int) -> np.ndarray:
-        i = self.place.get(term)
-        return self.postings[:0] if i is None else self.postings[self.offsets[i] : self.offsets[i + 1]]
-
-    def count(self, term: int) -> int:
-        i = self.place.get(term)
-        return 0 if i is None else int(self.offsets[i + 1] - self.offsets[i])
-
-    def phrase(self, terms: tuple[int, ...], slack: int = 0) -> np.ndarray:
-        """Start positions of the terms in order; with slack, each within slack words of its place."""
-        place = self.place
-        for t in terms:
-            if t not in place:
-                return self.postings[:0]
-        order = sorted(range(len(terms)), key=lambda i: (self.count(terms[i]), i))
-        at = self.list(terms[order[0]]) - order[0]
-        for i in order[1:]:
-            if not len(at):
-                break
-            other = self.list(terms[i])
-            k = np.searchsorted(other, at + (i - slack))
-            near = other[np.minimum(k, len(other) - 1)]
-            at = at[(k < len(other)) & (near <= at + (i + slack))]
-        return at
-
-
-def _hits(seg: Segment, tests: Tests, slack: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    for k, row in enumerate(tests.rows):
-        at = seg.phrase(row, slack)
-        if len(at):
-            yield k, at
-
-
-def phrase_matches(index: DataFrame, tests: Tests, slack: int = 0) -> DataFrame:
-    """doc_id, item_id, start, length: where windows stand exactly, or within slack words."""
-    shared = Sent(index.sparkSession, tests)
+    def __init__(self, segment: int, ids: bytes, starts: bytes, lengths: bytes, terms: bytes, offsets: bytes, postings: bytes):
+        self.segment, self.ids = segment, np.frombuffer(ids, np.int64)
+        self.starts, self.lengths = np.frombuffer(starts, np.uint32).astype(np.int64), np.frombuffer(lengths, np.uint32).astype(np.int64)
+        self.terms, self.offsets = np.frombuffer(terms, np.uint64), np.frombuffer(offsets, np.uint32).astype(np.int64)
+        self.counts = np.diff(self.offsets)
+        self.postings = np.cumsum(np.frombuffer(postings, np.uint32), dtype=np.uint32).astype(np.int64)
+        self.size = int(self.starts[-1] + self.lengths[-1])
+
+    def matches(self, block: Block, slack: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and the positions where they stand; with slack, each term within slack words of its
+        place, counted from the window's rarest term, and in the same document."""
+        if not len(self.terms) or not len(block.rows):
+            return
+        rank = np.minimum(np.searchsorted(self.terms, block.terms), len(self.terms) - 1)
+        count = np.append(np.where(self.terms[rank] == block.terms, self.counts[rank], 0), np.iinfo(np.int64).max)
+        alive = np.flatnonzero(count[block.rows].min(1) > 0)
+        rows = block.rows[alive]
+        order = np.argsort(count[rows], axis=1, kind="stable")
+        rows = np.take_along_axis(rows, order, 1)
+        sizes = count[rows[:, 0]]
+        # every posting as (term, position) in one ascending list: one search intersects all windows
+        key = np.repeat(np.arange(len(self.terms), dtype=np.int64) << 32, self.counts) + self.postings
+        total = np.cumsum(sizes)
+        a = 0
+        while a < len(alive):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - sizes[a] + CANDIDATES, "right")))
+            n = sizes[a:b]
+            w = np.repeat(np.arange(a, b), n)
+            within = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            stand = self.postings[self.offsets[rank[rows[w, 0]]] + within]
+            start = stand - order[w, 0]
+            if slack:
+                doc = np.searchsorted(self.starts, stand, "right") - 1
+                low, high = self.starts[doc], self.starts[doc] + self.lengths[doc] - 1
+            for j in range(1, block.window):
+                if not len(w):
+                    break
+                term, at = rows[w, j], start + order[w, j]
+                base = rank[term].astype(np.int64) << 32
+                if slack:
+                    least, most = np.maximum(at - slack, low), np.minimum(at + slack, high)
+                else:
+                    least = most = at
+                k = np.searchsorted(key, base + np.maximum(least, 0))
+                ok = (term < 0) | (k < len(key)) & (key[np.minimum(k, len(key) - 1)] <= base + most)
+                w, start = w[ok], start[ok]
+                if slack:
+                    low, high = low[ok], high[ok]
+            if len(w):
+                yield alive[w], start
+            a = b
+
+
+# -- searches ----------------------------------------------------------------
+
+
+def _spread(block: Block, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in windows, and the items that hold the window there."""
+    n = block.offsets[windows + 1] - block.offsets[windows]
+    place = np.repeat(np.arange(len(windows)), n)
+    within = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+    return place, block.owners[block.offsets[windows[place]] + within]
+
+
+def phrase_matches(index: DataFrame, block: Block, slack: int = 0) -> DataFrame:
+    """doc_id, item_id (as a string), start, length: where windows stand exactly, or within slack words."""
+    shared = Sent(index.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
         for b in batches:
             for row in b.to_pylist():
                 seg = Segment(**row)
-                for k, at in _hits(seg, shared.value, slack):
-                    d = np.searchsorted(seg.starts, at, "right") - 1
-                    for item in shared.value.items[k]:
-                        n = pa.array(np.full(len(at), len(shared.value.rows[k]), np.int64))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(seg.ids[d]), pa.array(np.full(len(at), item, np.int64)), pa.array(at - seg.starts[d]), n],
-                            names=["doc_id", "item_id", "start", "length"],
-                        )
-
-    return index.mapInArrow(run, "doc_id long, item_id long, start long, length long")
-
+                for windows, at in seg.matches(block, slack):
+                    # a slack may put the start before the document; the window's middle is in it or next to it
+                    d = np.maximum(np.searchsorted(seg.starts, at, "right") - 1, 0)
+                    if slack:
+                        after = np.minimum(d + 1, len(seg.starts) - 1)
+                        d = np.where(at >= seg.starts[d] + seg.lengths[d], after, d)
+                    place, owner = _spread(block, windows)
+                    ids = pa.array(seg.ids[d][place], mask=seg.ids[d][place] == _NULL)
+                    out = [ids, pa.array(block.names[owner], pa.string()), pa.array((at - seg.starts[d])[place]), pa.array(block.lengths[windows][place].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "item_id", "start", "length"])
 
-def _joined(items: set[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return index.mapInArrow(run, "doc_id long, item_id string, start long, length long")
 
 
-_OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_FOUND = "segment long, place int, doc_id long, n_words long, runs array<struct<s:int,e:int>>, items array<string>"
 
 
-def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
+def _found(index: DataFrame, sent: Sent, every: bool) -> DataFrame:
+    """The documents that hold a window of the block, or all: their hit runs of words, and the items."""
 
-    A task reads a segment and searches all blocks in turn, each from its broadcast.
-    """
-    index, blocks = build_index(docs, tests, window=window)
-    shared = [Sent(docs.sparkSession, b) for b in blocks]
+    def lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
         for b in batches:
             for row in b.to_pylist():
                 seg = Segment(**row)
-                size = int(seg.starts[-1] + seg.lengths[-1]) + 1 if len(seg.starts) else 1
-                cover, items = np.zeros(size + 1, np.int32), {}
-                for s in shared:
-                    for k, at in _hits(seg, s.value):
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + len(s.value.rows[k]), -1)
-                        for d in np.unique(np.searchsorted(seg.starts, at, "right") - 1).tolist():
-                            items.setdefault(d, set()).update(s.value.items[k])
-                total = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
-                hit = total[seg.starts + seg.lengths] - total[seg.starts]
-                null = np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None if i == null else i for i in seg.ids.tolist()], pa.int64()),
-                        pa.array(seg.lengths),
-                        pa.array(hit.astype(np.int64)),
-                        pa.array([len(items.get(d, ())) for d in range(len(seg.ids))], pa.int64()),
-                        pa.array([_joined(items.get(d, set())) for d in range(len(seg.ids))], pa.string()),
-                        pa.array(hit > 0),
-                    ],
-                    names=[x.split()[0] for x in _OUT.split(", ")],
-                )
-
-    return index.mapInArrow(run, _OUT)
+                cover = np.zeros(seg.size + block.window + 1, np.int32)
+                held = [np.zeros((2, 0), np.int64)]
+                for windows, at in seg.matches(block):
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + block.lengths[windows], -1)
+                    d = np.searchsorted(seg.starts, at, "right") - 1
+                    once = np.unique(d * len(block.rows) + windows)
+                    place, owner = _spread(block, once % len(block.rows))
+                    held.append(np.unique(np.stack([once[place] // len(block.rows), owner]), axis=1))
+                edge = np.diff(np.cumsum(cover) > 0, prepend=False).nonzero()[0]
+                begin, end = edge[::2], edge[1::2]
+                of = np.searchsorted(seg.starts, begin, "right") - 1
+                doc, owner = np.unique(np.concatenate(held, axis=1), axis=1)
+                some = np.arange(len(seg.ids)) if every else np.unique(of)
+                n = len(seg.ids)
+                parts = [pa.array((x - seg.starts[of]).astype(np.int32)) for x in (begin, end)]
+                out = [
+                    pa.array(np.full(len(some), seg.segment)),
+                    pa.array(some.astype(np.int32)),
+                    pa.array(seg.ids[some], mask=seg.ids[some] == _NULL),
+                    pa.array(seg.lengths[some]),
+                    lists(np.bincount(of, minlength=n)[some], pa.StructArray.from_arrays(parts, names=["s", "e"])),
+                    lists(np.bincount(doc, minlength=n)[some], pa.array(block.names[owner], pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _FOUND.split(", ")[:6]])
+
+    return index.mapInArrow(run, _FOUND)
+
+
+def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+    spark = docs.sparkSession
+    index, blocks = build_index(docs, window=window), blocks_of(tests, window)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        found = _found(index, Sent(spark, block), True)
+    else:
+        parts = [_found(index, Sent(spark, Block([], window)), True)]
+        while block is not None:
+            sent = Sent(spark, block)
+            parts.append(materialise(_found(index, sent, False), "found"))
+            sent.close()
+            block, after = after, next(blocks, None)
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        # a document has at most one row a block
+        merged = [F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items")]
+        found = found.groupBy("segment", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *merged)
+    items = F.array_sort(F.array_distinct("items"))
+    # hit words: the union of the runs
+    add = lambda x, r: F.struct((x["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(r["s"], x["end"]))).alias("n"), F.greatest(x["end"], r["e"]).alias("end"))
+    hit = F.aggregate(F.array_sort("runs"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), add)["n"].cast("long")
+    out = found.select("doc_id", "n_words", hit.alias("n_hit"), items.alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

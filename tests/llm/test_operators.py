@@ -256,18 +256,35 @@ def test_decontamination(spark, docs, none):
     assert not by_id(decontamination.contamination(docs, tests.limit(0)))[40].contaminated
 
 
-def test_blocks_and_segments_change_nothing(spark, docs, monkeypatch):
-    tests = spark.createDataFrame([(k, " ".join(TEXT[40 + k].split()[50:70])) for k in range(4)], "item_id long, text string")
+@pytest.mark.parametrize("block, candidates", [(25, 1_000_000), (15, 3), (500_000, 1)])
+def test_blocks_and_chunks_change_nothing(spark, docs, monkeypatch, block, candidates):
+    tests = spark.createDataFrame([(k, " ".join(TEXT[40 + k].split()[50:70])) for k in range(4)] + [(8, "word"), (9, "b c " * 30)], "item_id long, text string")
     want = sorted(map(tuple, decontamination.contamination(docs, tests).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 25)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontamination, "CANDIDATES", candidates)
     assert sorted(map(tuple, decontamination.contamination(docs, tests).collect())) == want
 
 
+def test_words_are_the_pattern_s():
+    text = "".join(map(chr, range(0x180))) + "Don't  ÉCOLE\u00a0x\u2003y_z\u0085A-B\x1cC" * 2
+    assert decontamination.words_of(text) == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    assert decontamination.words_of(None) == decontamination.words_of("") == decontamination.words_of(" -.- ") == []
+
+
+def test_decontamination_without_ids(spark):
+    docs = spark.createDataFrame([(None, "one two"), (None, None), (3, "two one two")], "doc_id long, text string")
+    tests = spark.createDataFrame([(None, "one two"), (None, "two one"), (4, "one two")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontamination.contamination(docs, tests).collect())
+    assert got == [(0, 0, 0, 0), (0, 2, 2, 2), (3, 3, 3, 2)]
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "one two extra three four"), (2, "four three two one")], "doc_id long, text string")
-    index, blocks = decontamination.build_index(docs, spark.createDataFrame([(5, "one two three four")], "item_id long, text string"))
-    assert decontamination.phrase_matches(index, blocks[0]).count() == 0
-    assert {r.doc_id for r in decontamination.phrase_matches(index, blocks[0], slack=1).collect()} == {1}
+    docs = spark.createDataFrame([(1, "one two extra three four"), (2, "four three two one"), (4, "one two"), (5, "three four")], "doc_id long, text string").coalesce(1)
+    index = decontamination.build_index(docs)
+    block = next(decontamination.blocks_of(spark.createDataFrame([(5, "one two three four")], "item_id long, text string")))
+    assert decontamination.phrase_matches(index, block).count() == 0
+    assert {r.doc_id for r in decontamination.phrase_matches(index, block, slack=1).collect()} == {1}
+    assert {r.doc_id for r in decontamination.phrase_matches(index, block, slack=20).collect()} == {1, 2}
 
 
 # -- toxicity ----------------------------------------------------------------
