@@ -38,7 +38,7 @@ from .common import Sent, materialise, small_batches, table
 WINDOW = 10
 #: Words of a segment's documents, at which the segment is closed.
 SEGMENT_WORDS = 600_000
-#: Words of the tests in one block (about 100 bytes a word in a task).
+#: Words of the tests in one block (some 400 bytes a word in a task at most, while its windows are ordered).
 BLOCK_WORDS = 500_000
 #: Positions that are intersected at a time, or one window's rarest list if that is longer.
 CANDIDATES = 1_000_000
