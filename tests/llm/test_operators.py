@@ -600,6 +600,91 @@ def test_holders_meet_where_leaders_share_less(spark):
     assert {x.doc_id for x in got if x.end - x.start >= 70 and x.identity == 1.0} == set(range(10, 30))
 
 
+def _passages(spark, texts):
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    return substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+
+def test_links_are_found_where_leaders_share_little(spark):
+    import numpy as np
+
+    r = np.random.default_rng(14)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    texts, want = [], []
+    for _ in range(12):  # two edited copies; short notes and a long text hold each of their common strings
+        p = new(120)
+        q = [x if k % 12 != 6 else new(1)[0] for k, x in enumerate(p)]
+        want.append((len(texts), len(texts) + 1))
+        texts += [new(200) + p + new(200), new(210) + q + new(210)]
+        runs = [q[k : k + 11] for k in range(7, 115, 12)]
+        texts += [new(2) + x for x in runs] + [[w for x in runs for w in x + new(150)]]
+    got = {(x.doc_id, x.match_id) for x in _passages(spark, texts)}
+    assert all(p in got and p[::-1] in got for p in want)
+
+
+def test_pairs_with_one_common_seed_are_aligned(spark):
+    import numpy as np
+
+    r = np.random.default_rng(15)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    texts, want = [], []
+    while len(want) < 20:  # runs of four words, and one that gives one seed
+        p = new(90)
+        q = [x if 38 <= k < 48 or k % 5 != 2 else new(1)[0] for k, x in enumerate(p)]
+        one, two = new(60) + p + new(60), new(70) + q + new(50)
+        seeds = [set(substring_dedup.seeds_of(substring_dedup.Hasher()(" ".join(t)))[1].tolist()) for t in (one, two)]
+        if len(seeds[0] & seeds[1]) == 1:
+            want.append((len(texts), len(texts) + 1))
+            texts += [one, two]
+    got = {(x.doc_id, x.match_id) for x in _passages(spark, texts)}
+    assert all(p in got and p[::-1] in got for p in want)
+
+
+def test_common_seeds_lose_no_link(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "BLOCK", 32)
+    r = np.random.default_rng(16)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    line, base = new(30), new(70)
+    texts = [new(60) + line + new(60) for _ in range(100)]  # a common line is no passage
+    for k in range(100):  # one passage in two variants that share their middle alone, and in edited ones
+        p = [x if 18 <= i < 52 or k % 2 else f"v{i}" for i, x in enumerate(base)]
+        texts.append(new(40) + [x if i % 14 != 3 or k % 4 > 1 else new(1)[0] for i, x in enumerate(p)] + new(40))
+    rows = _passages(spark, texts)
+    assert not {x.doc_id for x in rows} & set(range(100))
+    met = {}
+    for x in rows:
+        met.setdefault(x.doc_id, set()).add(x.match_id)
+    for a in range(100, 200):
+        for b in range(a + 1, 200):
+            if a % 2 == b % 2:
+                assert b in met[a] or met[a] & met[b]
+    assert len(rows) < 100 * 99 / 2  # leaders stand for pairs
+
+
+def test_copies_stand_with_their_representative(spark):
+    import numpy as np
+
+    r = np.random.default_rng(17)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    a = new(80)
+    rows = _passages(spark, [a, new(80), a, new(10) + a[:60], a, a[:40]])
+    got = {(x.doc_id, x.match_id): (x.start, x.end, x.match_start, x.match_end, x.n_equal) for x in rows}
+    own, part = (0, 80, 0, 80, 80), (0, 60, 10, 70, 60)
+    assert got == {(0, 2): own, (2, 0): own, (0, 4): own, (4, 0): own, (0, 3): part, (3, 0): (10, 70, 0, 60, 60)}
+
+
+def test_chains_are_split_at_wide_gaps():
+    import numpy as np
+
+    r = np.random.default_rng(18)
+    a, b = (r.integers(0, 2**63, 300).astype(np.uint64) for _ in range(2))
+    b[10:70], b[140:150] = a[10:70], a[140:150]
+    (p,) = substring_dedup.align(a, b, [(k, k) for k in (12, 30, 50, 64, 142)])
+    assert p[:5] == (10, 70, 10, 70, 60)
+
+
 def test_gap_alignment_is_a_longest_common_subsequence():
     import numpy as np
 
