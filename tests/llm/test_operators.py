@@ -685,6 +685,82 @@ def test_chains_are_split_at_wide_gaps():
     assert p[:5] == (10, 70, 10, 70, 60)
 
 
+def _edited(r, base, rate):
+    """A text's words with some replaced, put in or left out."""
+    out = []
+    for w in base:
+        kind = r.random() / rate
+        out += [f"x{r.integers(10**9)}"] if kind < 0.6 else [] if kind < 0.8 else [w, f"y{r.integers(10**9)}"] if kind < 1 else [w]
+    return out
+
+
+def test_rows_of_edited_copies_grow_as_the_group(spark):
+    import numpy as np
+
+    def rows(n):
+        r = np.random.default_rng(19)
+        base = [f"w{x}" for x in r.integers(0, 10**9, 300)]
+        texts = [_edited(r, base, 0.1) for _ in range(n)]
+        return texts, substring_dedup.classed(spark.createDataFrame(_passages(spark, texts), substring_dedup._PAIR)).collect()
+
+    (_, few), (texts, many) = rows(80), rows(240)
+    assert len(many) <= 3 * 1.3 * len(few)
+    # texts with a passage in place are of one class there
+    held = {}
+    for x in many:
+        held.setdefault(x.doc_id, []).append((x.start, x.end, (x.class_id, x.class_start)))
+    words = [np.array([hash(w) for w in t]) for t in texts]
+    met = 0
+    for a in range(0, 240, 4):
+        for b in range(a + 1, 240, 3):
+            for shift in range(-6, 7):
+                x, y = max(0, -shift), max(0, shift)
+                n = min(len(words[a]) - x, len(words[b]) - y)
+                same = np.cumsum(np.append(0, words[a][x : x + n] == words[b][y : y + n]))
+                for k in np.flatnonzero(same[50:] - same[:-50] >= 45)[::25].tolist():
+                    one, two = ({c for s, e, c in held[d] if s < z + k + 50 and z + k < e} for d, z in ((a, x), (b, y)))
+                    assert one & two
+                    met += 1
+    assert met > 50
+
+
+def test_classes_join_overlapping_ranges(spark):
+    rows = [(1, 2, 0, 60, 100, 160), (2, 3, 150, 210, 5, 65), (2, 4, 400, 460, 0, 60), (5, 4, 7, 70, 200, 263)]
+    rows = [(*r, 60, 1.0) for a, b, s, e, x, y in rows for r in ((a, b, s, e, x, y), (b, a, x, y, s, e))]
+    got = substring_dedup.classed(spark.createDataFrame(rows, substring_dedup._PAIR)).collect()
+    assert len(got) == len(rows)
+    assert {(x.doc_id, x.start): (x.class_id, x.class_start) for x in got} == {
+        (1, 0): (1, 0), (2, 100): (1, 0), (2, 150): (1, 0), (3, 5): (1, 0), (2, 400): (2, 400), (4, 0): (2, 400), (4, 200): (4, 200), (5, 7): (4, 200),
+    }
+    assert substring_dedup.classed(spark.createDataFrame([], substring_dedup._PAIR)).count() == 0
+
+
+def test_ends_are_followed_over_words_put_in():
+    import numpy as np
+
+    r = np.random.default_rng(20)
+    a, b = (r.integers(0, 2**63, 120).astype(np.uint64) for _ in range(2))
+    p = r.integers(0, 2**63, 60).astype(np.uint64)
+    a[30:90], b[30:50], b[51:75], b[77:93] = p, p[:20], p[20:44], p[44:]
+    (one,) = substring_dedup.align(a, b, [(60, 61)])
+    assert one[:5] == (30, 90, 30, 93, 60)
+
+
+def test_hashes_are_those_of_the_words(monkeypatch):
+    r = random.Random(21)
+    hasher, seen = substring_dedup.Hasher(), {}
+    letters = "abAB \t\x1c\x85\u00a0\u2003\u200bÄßİς\U0001f600"
+    texts = ["".join(r.choices(letters, k=r.randint(0, 60))) for _ in range(400)] + ["x" * 100 + " ab", "Straße " * 50 + "y" * 70, None, " \n"]
+    for size in (substring_dedup.CHARS, 16):
+        monkeypatch.setattr(substring_dedup, "CHARS", size)
+        for t in texts:
+            words, hashes = substring_dedup.words_of(t), hasher(t).tolist()
+            assert len(words) == len(hashes)
+            for w, h in zip(words, hashes):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_gap_alignment_is_a_longest_common_subsequence():
     import numpy as np
 
