@@ -12,14 +12,17 @@ from ..functions import text as T
 
 def ngrams(key: Column, most: int) -> Column:
     """Distinct word n-grams of a key, of 1 to most words."""
-    words = F.filter(F.split(key, " "), lambda w: w != "")
-    size = F.size(words)
 
-    def of(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def all_of(words: Column) -> Column:
+        size = F.size(words)
 
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
+        def of(n: int) -> Column:
+            starts = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+        return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
+
+    return T.let(F.filter(F.split(key, " "), lambda w: w != ""), all_of)  # split once, not for each n-gram
 
 
 def longest_words(aliases: DataFrame, alias: str = "alias") -> int:
@@ -31,6 +34,20 @@ def _letters(c: str) -> Column:
     return F.length(F.replace(c, F.lit(" ")))
 
 
+#: Aliases up to which a table of names is sent to every task; beyond, n-grams and names meet by a shuffle.
+SENT_NAMES = 100_000
+
+
+def _keyed(aliases: DataFrame, least: int, *keep: str) -> DataFrame:
+    names = aliases.select(*keep, "entity", T.key(F.col("name")).alias("alias"), "weight").where(_letters("alias") >= least)
+    return names.groupBy(*keep, "entity", "alias").agg(F.max("weight").alias("weight"))
+
+
+def place(key: Column, alias: Column) -> Column:
+    """First place of an alias in a key, both padded by a space at either end."""
+    return F.instr(F.concat(F.lit(" "), key, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
+
+
 def candidates(texts: DataFrame, aliases: DataFrame, longest: int | None = None, least: int = 4) -> DataFrame:
     """(id, key, alias, entity, start, weight): aliases that stand in a text, at their first place.
 
@@ -40,23 +57,44 @@ def candidates(texts: DataFrame, aliases: DataFrame, longest: int | None = None,
     either end.
     """
     keyed = texts.select("id", T.key(F.col("text")).alias("key"))
-    names = aliases.select("entity", T.key(F.col("name")).alias("alias"), "weight").where(_letters("alias") >= least)
-    names = names.groupBy("entity", "alias").agg(F.max("weight").alias("weight"))
+    names = _keyed(aliases, least)
     found = keyed.select("id", "key", F.explode(ngrams(F.col("key"), longest or longest_words(names))).alias("alias")).join(names, "alias")
-    return found.withColumn("start", F.instr(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" "))))
+    return found.withColumn("start", place(F.col("key"), F.col("alias")))
 
 
-def greedy(found: DataFrame, most: int = 10, once: str = "entity") -> DataFrame:
-    """(id, alias, entity, start): longest aliases first, no overlap of padded spans, at most `most` a text.
-
-    once is entity for one match an entity, or alias for one match of each alias of an entity.
+def deciding(aliases: DataFrame, most: int = 10, once: str = "entity", least: int = 4, by: list[str] | None = None) -> DataFrame:
+    """(by, entity, alias, weight): the names that can decide what greedy takes; the others of an alias never do.
 
-    Acceptance depends on what is accepted before, so a text's candidates are folded in
-    order. They are at most its n-grams' aliases.
+    All entities of an alias stand at one place, so the first that is taken keeps the others out, and so does
+    whatever overlaps it. One is passed over only if its entity was taken by another of its aliases, which
+    fewer than `most` were: the first entity with no other alias, or the first `most`, decide.
     """
-    # every number descends, the names ascend
-    order = F.struct((-F.size(F.split("alias", " "))).alias("w"), (-F.length("alias")).alias("n"), (-F.col("weight")).alias("m"), "alias", "entity", "start")
-    sorted_ = found.groupBy("id").agg(F.array_sort(F.collect_set(order)).alias("c"))
+    by = by or []
+    names = _keyed(aliases, least, *by)
+    order = F.struct((-F.col("weight")).alias("m"), "entity", "weight")
+    if once != "entity":
+        return names.groupBy(*by, "alias").agg(F.min(order).alias("o")).select(*by, "o.entity", "alias", "o.weight")
+    names = names.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, F.col("entity").cast("bigint"))))
+    only = names.where("_n = 1").groupBy(*by, "alias").agg(F.min(order).alias("o")).select(*by, "o.entity", "alias", "o.weight")
+    first = F.row_number().over(Window.partitionBy(*by, "alias").orderBy(-F.col("weight"), "entity"))
+    rest = names.where("_n > 1").withColumn("_r", first).where(F.col("_r") <= most)
+    return only.unionByName(rest.select(only.columns))
+
+
+def sendable(known: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Known names, marked for sending to every task if they are few; the words of the longest; whether they are few."""
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("alias", " "))).alias("words")).first()
+    few = size["n"] <= SENT_NAMES
+    return F.broadcast(known) if few else known, size["words"] or 1, few
+
+
+def priority() -> Column:
+    """Order in which candidates are tried: every number descends, the names ascend."""
+    return F.struct((-F.size(F.split("alias", " "))).alias("w"), (-F.length("alias")).alias("n"), (-F.col("weight")).alias("m"), "alias", "entity", "start")
+
+
+def folded(c: Column | str, most: int = 10, once: str = "entity") -> Column:
+    """The accepted spans of a text's candidates (an array of priority()), as struct(alias, entity, start, stop)."""
     empty = F.array().cast("array<struct<alias:string,entity:bigint,start:int,stop:int>>")
 
     def step(done: Column, x: Column) -> Column:
@@ -66,10 +104,35 @@ def greedy(found: DataFrame, most: int = 10, once: str = "entity") -> DataFrame:
         taken = F.exists(done, lambda d: same(d) | ((d["start"] < stop) & (x["start"] < d["stop"])))
         return F.when(taken | (F.size(done) >= most), done).otherwise(F.concat(done, F.array(one)))
 
-    spans = sorted_.select("id", F.explode(F.aggregate("c", empty, step)).alias("s"))
+    return F.aggregate(F.array_sort(c), empty, step)
+
+
+def greedy(found: DataFrame, most: int = 10, once: str = "entity") -> DataFrame:
+    """(id, alias, entity, start): longest aliases first, no overlap of padded spans, at most `most` a text.
+
+    once is entity for one match an entity, or alias for one match of each alias of an entity.
+
+    Acceptance depends on what is accepted before, so a text's candidates are folded in
+    order. They are at most its n-grams' aliases.
+    """
+    sets = found.groupBy("id").agg(F.collect_set(priority()).alias("c"))
+    spans = sets.select("id", F.explode(folded("c", most, once)).alias("s"))
     return spans.select("id", "s.alias", "s.entity", "s.start")
 
 
+def matched(texts: DataFrame, aliases: DataFrame, longest: int | None = None, most: int = 10, once: str = "entity", least: int = 4, by: list[str] | None = None) -> DataFrame:
+    """greedy(candidates(texts, aliases)), without the entities of an alias that decide nothing.
+
+    by: columns of both that must be equal, so that texts of different kinds have names of their own.
+    """
+    by = by or []
+    known, words, _ = sendable(deciding(aliases, most, once, least, by))
+    keyed = texts.select("id", *by, T.key(F.col("text")).alias("key"))
+    grams = keyed.select("id", *by, "key", F.explode(ngrams(F.col("key"), longest or words)).alias("alias"))
+    placed = grams.select("id", *by, "alias", place(F.col("key"), F.col("alias")).alias("start"))  # texts do not travel
+    return greedy(placed.join(known, ["alias", *by]), most, once)
+
+
 def within_longer(facets: DataFrame, aliases: DataFrame, least: int = 6) -> DataFrame:
     """(id, entity, alias): a facet of `least` letters or numbers that is a proper word phrase of a longer alias."""
     keyed = facets.select("id", T.key(F.col("text")).alias("key")).where(_letters("key") >= least)

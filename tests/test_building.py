@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,18 @@ def test_prompts_hold_claim_and_passages(spark):
     assert "the claim" in p.a and "[1] one\n[2] two" in p.b
     silent = models.verify_claim_only(spark.createDataFrame([(1, "x")], "id long, claim string"), lambda: models.OfflineClient(lambda _: "no answer"))
     assert [(r.label, r.error) for r in silent.collect()] == [("error", "unreadable answer")]
+
+
+def test_many_entities_of_an_alias(spark):
+    """Only names that can decide meet the texts; what is taken is what all candidates would give."""
+    rng = random.Random(5)
+    words = [f"{a} {b}" for a in ("red", "blue", "old") for b in ("ring", "bolt", "plate")]
+    names = [(e, w, e % 4) for e, w in enumerate(words * 300)] + [(rng.randrange(2650, 2720), rng.choice(words), rng.randrange(9)) for _ in range(60)]
+    names = spark.createDataFrame(names, "entity long, name string, weight int")
+    texts = spark.createDataFrame([(i, ", ".join(rng.choices([*words, "ring bolt", "x"], k=6))) for i in range(40)], "id long, text string")
+    assert aliases.deciding(names).groupBy("alias").count().where("count > 40").isEmpty()
+    for once in ("entity", "alias"):
+        for most in (2, 10):
+            want = aliases.greedy(aliases.candidates(texts, names), most, once)
+            got = aliases.matched(texts, names, most=most, once=once)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
