@@ -33,15 +33,28 @@ def _distinct(rows: DataFrame, most: int) -> DataFrame:
 def rule_facets(texts: DataFrame, names: DataFrame, longest: int = 8, most_aliases: int = 40, most: int = 8) -> DataFrame:
     """Facets of texts (id, text) without a model: alias matches by node type, years, quantities.
 
-    names: entity, name, weight, type.
+    names: entity, name, weight, type. Texts are read once: a text's n-grams, years and
+    quantities become rows together, and stay together by id from there on.
     """
-    spans = A.greedy(A.candidates(texts, names.select("entity", "name", "weight"), longest), most_aliases)
-    kinds = names.select("entity", "type").distinct().where(F.col("type").isin(list(FACET_OF_TYPE)))
-    facet = F.create_map(*[F.lit(x) for p in FACET_OF_TYPE.items() for x in p])[F.col("type")]
-    found = spans.join(kinds, "entity").select("id", facet.alias("facet"), F.col("alias").alias("value"), (F.col("start").cast("int") - 1_000_000).alias("pos"))
-    listed = lambda name, values: texts.select("id", F.lit(name).alias("facet"), F.posexplode(values).alias("pos", "value")).select("id", "facet", "value", "pos")
-    years = listed("time", F.transform(F.array_sort(T.years(F.col("text"))), lambda y: y.cast("string")))
-    return _distinct(found.select("id", "facet", "value", "pos").unionByName(years).unionByName(listed("quantity", T.quantities(F.col("text")))), most)
+    deciding = A.deciding(names.select("entity", "name", "weight"), most_aliases)
+    known, _, few = A.sendable(deciding)
+    row = lambda facet, pos, value, start: F.struct(facet.cast("string").alias("facet"), pos.cast("int").alias("pos"), value.cast("string").alias("value"), start.cast("int").alias("start"))
+    none, key = F.lit(None), F.col("key")
+    grams = F.transform(A.ngrams(key, longest), lambda w: row(none, none, w, A.place(key, w)))
+    listed = lambda name, values: F.transform(values, lambda v, i: row(F.lit(name), i, v, none))
+    # a text without years, quantities or a key has null for an array, which must not blank the others
+    every = F.flatten(F.array_compact(F.array(grams, listed("time", F.array_sort("years")), listed("quantity", F.col("quantities")))))
+    read = texts.select("id", T.key(F.col("text")).alias("key"), T.years(F.col("text")).alias("years"), T.quantities(F.col("text")).alias("quantities"))
+    rows = read.select("id", F.explode(every).alias("x")).select("id", "x.*").withColumn("alias", F.when(F.col("facet").isNull(), F.col("value")))
+    rows = rows.join(known.withColumn("known", F.lit(True)), "alias", "left").where("facet IS NOT NULL OR known")
+    one = rows.groupBy("id").agg(F.collect_set(F.when(F.col("known"), A.priority())).alias("c"), F.collect_list(F.when(F.col("facet").isNotNull(), F.struct("facet", "value", "pos", F.lit(None).cast("bigint").alias("entity")))).alias("listed"))
+    spans = F.transform(A.folded("c", most_aliases), lambda s: F.struct(F.lit(None).cast("string").alias("facet"), s["alias"].alias("value"), (s["start"] - 1_000_000).alias("pos"), s["entity"].alias("entity")))
+    found = one.select("id", F.explode(F.concat(spans, "listed")).alias("x")).select("id", "x.*")
+    kinds = names.select(F.col("entity").cast("bigint").alias("entity"), "type").distinct().where(F.col("type").isin(list(FACET_OF_TYPE)))
+    kinds = kinds.join(deciding.select(F.col("entity").cast("bigint").alias("entity")).distinct(), "entity", "left_semi")
+    kind = F.create_map(*[F.lit(x) for p in FACET_OF_TYPE.items() for x in p])[F.col("type")]
+    found = found.join(F.broadcast(kinds) if few else kinds, "entity", "left").withColumn("facet", F.coalesce("facet", kind)).where("facet IS NOT NULL")
+    return _distinct(found.select("id", "facet", "value", "pos"), most)
 
 
 def coerce_facets(answers: DataFrame, rules: DataFrame, most: int = 8) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import alignment, facets, graph_scores, models, pages, reports
+from evidentia.operators import aliases, alignment, facets, graph_scores, models, pages, reports
 
 from .test_engine import one
 
@@ -90,6 +90,17 @@ def test_rules_and_coercion(spark):
     assert got == {("place", "ha noi"), ("quantity", "12 quân"), ("quantity", "3-4 km2"), ("person", "An"), ("person", "Be")}
 
 
+def test_rules_with_many_entities_of_a_name(spark):
+    """A name that many entities bear is read as one value, and texts without years or names keep their other facets."""
+    texts = spark.createDataFrame([(1, "red ring and old plate in 1995"), (2, "12 quân"), (3, "..."), (4, "old plate")], "id long, text string")
+    bearers = [(e, n, e % 7, ("Concept", "Event", "Odd")[e % 3]) for e in range(3000) for n in [("red ring", "old plate")[e % 2]]]
+    names = spark.createDataFrame(bearers, "entity long, name string, weight int, type string")
+    got = {(r.id, r.facet, r.value, r.pos) for r in facets.rule_facets(texts, names).collect()}
+    # of the heaviest, entity 6 bears one name and 13 the other
+    assert got == {(1, "concept", "red ring", 1), (1, "event", "old plate", 1), (1, "time", "1995", 1), (2, "quantity", "12 quân", 1), (4, "event", "old plate", 1)}
+    assert aliases.deciding(names).count() == 2
+
+
 def test_evidence_score(spark):
     row = spark.createDataFrame([(2, 4, 1, "won in 1945 alpha beta", "alpha 1945", [1946], 3)], "f int, t int, r int, claim string, text string, years array<int>, hub int")
     c = F.col
