@@ -80,14 +80,21 @@ def match(facets: DataFrame, names: DataFrame, node_years: DataFrame, types: Map
     by_year = dated.join(near, "year").select("facet", "value", F.lit(0).alias("stage"), (F.col("year") * 100 + F.col("r")).cast("long").alias("at"), F.col("entity").cast("long").alias("node"), F.lit("year_index").alias("method"))
     asked = values.where(~F.col("facet").isin(NOT_NAMES)).select(F.struct("facet", "value").alias("id"), F.col("value").alias("text"))
     kinds = names.select("entity", "type").distinct()
+    limits = {f: list(t) for f, t in (types or {}).items() if t}
 
     def allowed(found: DataFrame) -> DataFrame:
         if not types:
             return found
-        rows = [F.when(F.col("id.facet") == f, F.col("type").isin(list(t))) for f, t in types.items() if t]
+        rows = [F.when(F.col("id.facet") == f, F.col("type").isin(t)) for f, t in limits.items()]
         return found.join(kinds, "entity").where(F.coalesce(*rows, F.lit(True))).drop("type")
 
-    spans = A.greedy(allowed(A.candidates(asked, names.select("entity", "name", "weight"))), most)
+    # names of the types of each facet that is limited, and all names for the others
+    told = names.select("entity", "name", "weight", "type")
+    told = told if not types else told.drop("type").join(kinds, "entity")
+    sets = F.array(F.lit(""), *[F.when(F.coalesce(F.col("type").isin(t), F.lit(True)), F.lit(f"={f}")) for f, t in limits.items()])
+    told = told.select(F.explode(F.array_compact(sets)).alias("kind"), "entity", "name", "weight")
+    own = F.when(F.col("id.facet").isin(list(limits)), F.concat(F.lit("="), "id.facet")).otherwise("")
+    spans = A.matched(asked.withColumn("kind", own), told, most=most, by=["kind"])
     # longer aliases are taken before shorter ones, as they were accepted
     size = (1000 - F.least(F.size(F.split("alias", " ")), F.lit(999))) * 10000 - F.least(F.length("alias"), F.lit(9999))
     whole = spans.select("id.facet", "id.value", F.lit(1).alias("stage"), size.cast("long").alias("at"), F.col("entity").alias("node"), F.lit("alias").alias("method"))

@@ -101,6 +101,19 @@ def test_rules_with_many_entities_of_a_name(spark):
     assert aliases.deciding(names).count() == 2
 
 
+def test_match_with_many_entities_of_a_name(spark):
+    """Each facet meets the first entity of the types that are its own."""
+    bearers = [(e, "red ring", e % 7, ("Concept", "Event")[e % 2]) for e in range(2000)]
+    names = spark.createDataFrame([*bearers, (5000, "red ring", 99, None), (5001, "red ring", 98, "Place")], "entity long, name string, weight int, type string")
+    fs = spark.createDataFrame([(1, "concept", "red ring"), (1, "event", "Red Ring"), (2, "person", "red ring")], "id long, facet string, value string")
+    none = spark.createDataFrame([], "year int, entity long")
+    got = {(r.facet, r.node, r.method) for r in facets.match(fs, names, none, {"concept": ["Concept"], "event": ["Event"]}).collect()}
+    # a node without a type is never ruled out
+    assert got == {("concept", 5000, "alias"), ("event", 5000, "alias"), ("person", 5000, "alias")}
+    got = facets.match(fs, names.where("entity < 5000"), none, {"concept": ["Concept"], "event": ["Event"]}).where("facet IN ('concept', 'event')").collect()
+    assert {(r.facet, r.node) for r in got} == {("concept", 6), ("event", 13)}
+
+
 def test_evidence_score(spark):
     row = spark.createDataFrame([(2, 4, 1, "won in 1945 alpha beta", "alpha 1945", [1946], 3)], "f int, t int, r int, claim string, text string, years array<int>, hub int")
     c = F.col
