@@ -154,6 +154,32 @@ def test_graph_scores(spark):
     assert {r.path: (r.label, r.grounded) for r in labels.collect()} == {"p": ("SUPPORT", True), "q": ("EXPLICIT_REFUTE?", False), "r": ("POSSIBLE_CONFLICT", True), "s": ("SUPPORT", True)}
 
 
+def _random_graph(spark, seed):
+    """Claims with several nodes, years and tokens, many of them alike; loops, nulls and repeated node years."""
+    rng = random.Random(seed)
+    some = lambda values, most: rng.choice([None, []]) if rng.random() < 0.1 else [rng.choice(values) for _ in range(rng.randint(1, most))]
+    years, words, nodes = list(range(1900, 1906)), ["red", "old", "big", "far"], [f"n{i}" for i in range(9)]
+    alike = [(some(["P", "Q"], 2), some(years, 3), some(words, 3), some(["ring", "bolt"], 2), some(["A", "B"], 2)) for _ in range(4)]
+    claims = [(i, some(nodes, 3), *rng.choice(alike)) for i in range(12)]
+    claims = spark.createDataFrame(claims, "id long, nodes array<string>, node_types array<string>, years array<int>, tokens array<string>, phrases array<string>, types array<string>")
+    edges = [(i, rng.choice(nodes), rng.choice(nodes), rng.choice("ABC"), rng.choice(["k1", "k2", "k3", "k4", None]), rng.choice([0.2, 0.9, None]), rng.choice(["P", "Q", None]), "R", some(years, 2), some(words, 2), rng.choice([" a ring ", " bolt ", None])) for i in range(150)]
+    edges = spark.createDataFrame(edges, "edge long, source string, target string, type string, chunk string, confidence double, source_type string, target_type string, years array<int>, tokens array<string>, key string")
+    chunks = spark.createDataFrame([(f"k{i}", some(years, 3), some(words, 2), rng.choice([" ring ", " x "])) for i in range(1, 30)], "chunk string, years array<int>, tokens array<string>, key string")
+    near = spark.createDataFrame([(rng.choice(nodes), f"k{rng.randint(1, 31)}") for _ in range(30)], "node string, chunk string")
+    dated = spark.createDataFrame([(rng.choice(nodes), rng.choice(years)) for _ in range(8)], "node string, year int")
+    return claims, edges, chunks, near, dated
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counts_of_candidates(spark, seed):
+    """Counted by sets of nodes, years and tokens, candidates number as many as their rows."""
+    claims, edges, chunks, _, dated = _random_graph(spark, seed)
+    rows = graph_scores.candidate_edges(claims, edges, chunks, dated, 2, 7)
+    want = rows.groupBy("id", "reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("edge").alias("e"))
+    got = graph_scores.candidate_counts(claims, graph_scores.wide_edges(edges, chunks), dated, 2, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_alignment(spark):
     reps = spark.createDataFrame([(1, "Place", "Hà Nội", "hà nội", "ha noi", 3), (2, "Organization", "Ha Noi", "ha noi", "ha noi", 5), (3, "Person", "ha noi", "ha noi", "ha noi", 1), (4, "Event", "revolution august", "revolution august", "revolution august", 1), (5, "Event", "revolution augustt", "revolution augustt", "revolution augustt", 1)], "entity long, type string, name string, key string, fold string, mentions long")
     got = {(r.kind, tuple(r.members)) for r in alignment.groups(reps, write, [["Hà Nội", "x"]]).collect()}
