@@ -190,6 +190,17 @@ def test_best_facts_of_classes(spark, seed):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_best_chunks_of_classes(spark, seed):
+    """Scored by classes of claims, chunks are those of all candidates, however small the pool."""
+    claims, edges, chunks, near, dated = _random_graph(spark, seed)
+    found = graph_scores.best_facts(claims, graph_scores.wide_edges(edges, chunks), dated).localCheckpoint()
+    for most, k in ((3, 2), (700, 3)):
+        want = graph_scores.linked_chunks(claims, found, chunks, near, graph_scores.candidate_chunks(claims, found, chunks, near, 2, 7), most, k)
+        got = graph_scores.best_chunks(claims, found, chunks, near, most, k, 2, 7)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_alignment(spark):
     reps = spark.createDataFrame([(1, "Place", "Hà Nội", "hà nội", "ha noi", 3), (2, "Organization", "Ha Noi", "ha noi", "ha noi", 5), (3, "Person", "ha noi", "ha noi", "ha noi", 1), (4, "Event", "revolution august", "revolution august", "revolution august", 1), (5, "Event", "revolution augustt", "revolution augustt", "revolution augustt", 1)], "entity long, type string, name string, key string, fold string, mentions long")
     got = {(r.kind, tuple(r.members)) for r in alignment.groups(reps, write, [["Hà Nội", "x"]]).collect()}
